@@ -21,8 +21,11 @@ CHUNK = 1 << 19
 BROADCAST_BYTES = 32 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Which bytes part words: white space, or every ASCII character but letters and digits.
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[k for k in range(128) if not chr(k).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[0x41:0x5B] += np.uint64(32)
 _POWERS: dict[str, np.ndarray] = {}
@@ -94,8 +97,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes and first bytes of the words [^\\x20\\x09-\\x0D]+ in UTF-8 bytes, A-Z lower-cased.
+def word_hashes(data: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and first bytes of the words of UTF-8 bytes, A-Z lower-cased; by default words are [^\\x20\\x09-\\x0D]+.
 
     Works through the bytes in chunks that end at separators, so a very long text needs little more than its words.
     """
@@ -103,14 +106,14 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while pos < n:
         end = min(n, pos + CHUNK)
         if end < n:
-            gaps = np.flatnonzero(_SEPARATOR[data[pos:end]])
+            gaps = np.flatnonzero(separator[data[pos:end]])
             while not len(gaps) and end < n:  # a word longer than the chunk
                 grown = min(n, end + CHUNK)
-                gaps = np.flatnonzero(_SEPARATOR[data[end:grown]])
+                gaps = np.flatnonzero(separator[data[end:grown]])
                 gaps, end = gaps + (end - pos), grown
             end = pos + int(gaps[-1]) + 1 if len(gaps) else n
         part = data[pos:end]
-        edge = np.diff((~_SEPARATOR[part]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        edge = np.diff((~separator[part]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(start):
             up, down = _powers(len(part) + 1)
@@ -130,3 +133,19 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         h = h * np.uint64(0xD6E8FEB86659FD93) + words[k : len(words) - size + 1 + k]
     return mixed(h)
+
+
+def word_hashes_of_rows(data: np.ndarray, at: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of several rows and where each row's begin; rows are parted by a line end so that no word spans two."""
+    n = len(at) - 1
+    if n == 1:
+        words, _ = word_hashes(data[at[0] : at[1]], separator)
+        return words, np.array([0, len(words)])
+    lengths = np.diff(at)
+    joined = np.full(int(lengths.sum()) + n, 10, np.uint8)
+    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+    keep = np.ones(len(joined), bool)
+    keep[begin[1:] - 1] = False
+    joined[keep] = data[at[0] : at[-1]]
+    words, places = word_hashes(joined, separator)
+    return words, np.searchsorted(places, begin)

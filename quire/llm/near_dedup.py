@@ -10,7 +10,8 @@ empty, linked with nothing). Two documents are linked if 100 * |A & B| >= 75 * |
 3. Bands of register values put representatives into buckets. A bucket is never expanded into its pairs: each member
    is compared with the bucket's hub (the member that stands for most copies), then links become components.
 4. Members that a hub did not link go on in rounds: each meets the bucket's other components in blocks of sketches, and
-   per component the likeliest partner goes to verification, until no untried pair with a likely link is left.
+   per component the likeliest partners go to verification, twice as many each round, until no untried likely pair is
+   left.
    Nothing is capped; the rounds end when there is nothing left to try.
 5. Pairs that the likelihood keeps are verified on the full sets.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm._core import broadcast_if_small, mixed, runs, utf8, windows, word_hashes, written
+from quire.llm._core import broadcast_if_small, mixed, runs, utf8, windows, word_hashes_of_rows, written
 
 SHINGLE = 5
 #: Linked if PART * intersection >= SHARE * union.
@@ -39,10 +40,10 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Register k stands for minima in (B ** -k, B ** (1 - k)] / RATE; values end at Q + 1.
 B, RATE, Q = 1.001, 20.0, (1 << 16) - 2
-#: Pairs whose likeliest similarity is below this are not verified: 0.75 less five standard errors of 128 registers.
-LIKELY = 0.55
-#: Sketches in a block of a large bucket, and partners tried per member, component and round.
-BLOCK, TRIES = 256, 3
+#: Pairs whose likeliest similarity is below this are not verified: 0.75 less four standard errors of 128 registers.
+LIKELY = 0.6
+#: Sketches in a block of a large bucket, and partners tried per member and component in the first round; each round doubles them.
+BLOCK, TRIES = 256, 8
 
 _SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
@@ -64,22 +65,6 @@ def shingles_of(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def word_hashes_of_rows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of several rows and where each row's begin; rows are parted by a line end so that no word spans two."""
-    n = len(at) - 1
-    if n == 1:
-        words, _ = word_hashes(data[at[0] : at[1]])
-        return words, np.array([0, len(words)])
-    lengths = np.diff(at)
-    joined = np.full(int(lengths.sum()) + n, 10, np.uint8)
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
-    keep = np.ones(len(joined), bool)
-    keep[begin[1:] - 1] = False
-    joined[keep] = data[at[0] : at[-1]]
-    words, places = word_hashes(joined)
-    return words, np.searchsorted(places, begin)
-
-
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = utf8(batch.column(1))
@@ -169,9 +154,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b: verified links between representatives (rep, n, copies, sketch) that connect every class; docs has their texts."""
-    spark = docs.sparkSession
+def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, component of the linked ones among the representatives (rep, n, copies, sketch); docs has their texts."""
     band = lambda k: F.xxhash64(F.lit(k), F.expr(f"substring(sketch, {2 * ROWS * k + 1}, {2 * ROWS})"))
     keys = reps.select("rep", "copies", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
     hubs = keys.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("members"))
@@ -197,9 +181,9 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     first = first.filter(F.least("n_a", "n_b") * PART >= F.greatest("n_a", "n_b") * SHARE)
     first = first.withColumn("similarity", _estimate("sketch_a", "sketch_b", "n_a", "n_b")).filter(F.col("similarity") >= LIKELY).select("a", "b")
     tried = written(verified(written(first)))
+    tries = TRIES
     while True:
-        edges = tried.filter("linked").select("a", "b")
-        labels = components(edges)
+        labels = components(tried.filter("linked").select("a", "b"))
         placed = bucketed.select("key", "rep").join(labels, bucketed.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         placed = written(placed)
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
@@ -207,14 +191,14 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         main = main.filter("parts > 1").select("key", F.col("top.component").alias("main"), "members")
         open_ = written(placed.join(main, "key"))
         if open_.isEmpty():
-            return edges
-        pairs = written(_untried(open_, own, tried))
+            return labels
+        pairs = written(_untried(open_, own, tried, tries))
         if pairs.isEmpty():
-            return edges
-        tried = written(tried.union(verified(pairs)))
+            return labels
+        tried, tries = written(tried.union(verified(pairs))), 2 * tries
 
 
-def _untried(open_: DataFrame, own: DataFrame, tried: DataFrame) -> DataFrame:
+def _untried(open_: DataFrame, own: DataFrame, tried: DataFrame, tries: int) -> DataFrame:
     """Per member outside its bucket's main component and per other component, the likeliest partners not yet tried.
 
     Blocks of at most about BLOCK members meet each such member once; what leaves a block are its likely pairs only.
@@ -243,7 +227,7 @@ def _untried(open_: DataFrame, own: DataFrame, tried: DataFrame) -> DataFrame:
     found = found.withColumns({"a": F.least("asker", "rep"), "b": F.greatest("asker", "rep")}).dropDuplicates(["asker", "rep"])
     found = found.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     best = Window.partitionBy("asker", "component").orderBy(F.desc("similarity"), "rep")
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= TRIES).select("a", "b").distinct()
+    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= tries).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -251,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all_ = written(sketch(docs))
     reps = all_.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = written(reps)
-    linked = components(links(docs, reps.select("rep", "n", "copies", "sketch")))
+    linked = classes(docs, reps.select("rep", "n", "copies", "sketch"))
     rep = reps.join(linked, reps.rep == linked.node, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n_shingles", "set_id").join(rep, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
