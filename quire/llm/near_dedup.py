@@ -10,9 +10,8 @@ empty, linked with nothing). Two documents are linked if 100 * |A & B| >= 75 * |
 3. Bands of register values put representatives into buckets. A bucket is never expanded into its pairs: each member
    is compared with the bucket's hub (the member that stands for most copies), then links become components.
 4. Members that a hub did not link go on in rounds: each meets the bucket's other components in blocks of sketches, and
-   per component the likeliest partners go to verification, twice as many each round, until no untried likely pair is
-   left.
-   Nothing is capped; the rounds end when there is nothing left to try.
+   per component the likeliest partners go to verification, four times as many each round, until every likely pair
+   between components has been tried.
 5. Pairs that the likelihood keeps are verified on the full sets.
 
 Only ids, bands and sketches are shuffled, and the texts of bucketed documents once. Equal doc_id values in several rows
@@ -27,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,23 +36,39 @@ SHINGLE = 5
 #: Linked if PART * intersection >= SHARE * union.
 SHARE, PART = 75, 100
 BANDS, ROWS = 32, 4
-REGISTERS = BANDS * ROWS
+#: Registers that are banded, and those that estimate similarities (drawn independently, for bucketed documents only).
+REGISTERS, FINE = BANDS * ROWS, 512
 #: Register k stands for minima in (B ** -k, B ** (1 - k)] / RATE; values end at Q + 1.
 B, RATE, Q = 1.001, 20.0, (1 << 16) - 2
-#: Pairs whose likeliest similarity is below this are not verified: 0.75 less four standard errors of 128 registers.
-LIKELY = 0.6
-#: Sketches in a block of a large bucket, and partners tried per member and component in the first round; each round doubles them.
-BLOCK, TRIES = 256, 8
-
-_SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Pairs whose likeliest similarity is below this are not verified: 0.75 less 3.7 standard errors of 512 registers; nor is
+#: a pair with a smaller share of equal registers than EQUAL.
+LIKELY, EQUAL = 0.68, 0.65
+#: Sketches in a block of a large bucket, and partners tried per member and component in the first round; each round has
+#: sixteen times as many.
+BLOCK, TRIES = 256, 64
+
+_SEEDS = mixed(np.arange(1, (REGISTERS + FINE) // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
 SKETCH_TYPE = "doc_id long, n_shingles long, set_id binary, sketch binary"
 
 
 def registers(minima: np.ndarray) -> np.ndarray:
-    """Register values of hash minima: floor(1 - log_B of the exponential minimum), truncated."""
-    u = (minima.astype(np.float64) + 0.5) / 2.0**64
-    return np.clip(np.floor(1 - np.log(-np.log1p(-np.minimum(u, 1 - 1e-16)) / RATE) / np.log(B)), 0, Q + 1).astype("<u2")
+    """Register values of 32-bit hash minima: floor(1 - log_B of the exponential minimum), truncated."""
+    u = (minima.astype(np.float64) + 0.5) / 2.0**32
+    return np.clip(np.floor(1 - np.log(-np.log1p(-u) / RATE) / np.log(B)), 0, Q + 1).astype("<u2")
+
+
+def set_sketches(sets: list[np.ndarray], skip: int, count: int) -> np.ndarray:
+    """Registers skip to skip + count of non-empty sets of hashes, a row each; either half of a product serves a register."""
+    minima = np.zeros((len(sets), count), np.uint32)
+    if len(sets):
+        h = np.concatenate(sets)
+        begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
+        for k in range(count // 2):
+            halves = ((h ^ _SEEDS[skip // 2 + k]) * _FACTORS[skip // 2 + k]).view(np.uint32)
+            minima[:, 2 * k] = np.minimum.reduceat(halves[1::2], begin)
+            minima[:, 2 * k + 1] = np.minimum.reduceat(halves[::2], begin)
+    return registers(minima)
 
 
 def shingles_of(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -71,15 +86,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, ids, sketches = [], [], []
         for i, j in runs(at):
             sets = shingles_of(data, at[i : j + 1])
-            sizes = np.array([len(s) for s in sets])
-            full = np.flatnonzero(sizes)
-            minima = np.zeros((len(full), REGISTERS), np.uint64)
-            if len(full):
-                h = np.concatenate([sets[k] for k in full])
-                begin = np.concatenate([[0], np.cumsum(sizes[full])])[:-1]
-                for r in range(REGISTERS):
-                    minima[:, r] = np.minimum.reduceat((h ^ _SEEDS[r]) * _FACTORS[r], begin)
-            rows = iter(registers(minima))
+            rows = iter(set_sketches([x for x in sets if len(x)], 0, REGISTERS))
             for s in sets:
                 counts.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -112,7 +119,7 @@ def likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), REGISTERS)
+    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), FINE)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -135,8 +142,10 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = utf8(batch.column(1))
-        sets = [s.astype("<u8").tobytes() for i, j in runs(at) for s in shingles_of(data, at[i : j + 1])]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["rep", "shingles"])
+        sets = [x for i, j in runs(at) for x in shingles_of(data, at[i : j + 1])]
+        fine = [row.tobytes() for x in sets for row in set_sketches([x], REGISTERS, FINE)]
+        shingles = pa.array([x.astype("<u8").tobytes() for x in sets], pa.large_binary()).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fine, pa.binary()), shingles], names=["rep", "n", "fine", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,77 +166,103 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """node, component of the linked ones among the representatives (rep, n, copies, sketch); docs has their texts."""
     band = lambda k: F.xxhash64(F.lit(k), F.expr(f"substring(sketch, {2 * ROWS * k + 1}, {2 * ROWS})"))
-    keys = reps.select("rep", "copies", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
+    keys = reps.select("rep", "copies", F.posexplode(F.array(*[band(k) for k in range(BANDS)])).alias("band", "key"))
     hubs = keys.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("members"))
     hubs = hubs.filter("members > 1").select("key", (-F.col("top.minus")).alias("hub"))
-    bucketed = written(keys.join(hubs, "key").select("key", "rep", "hub"))
+    bucketed = written(keys.join(hubs, "key").select("key", "band", "rep", "hub"))
     inside = written(bucketed.select("rep").distinct())
     near_ids = broadcast_if_small(inside, 16)
-    own = written(reps.join(near_ids, "rep").select("rep", "n", "sketch"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    sets = written(texts.join(near_ids, "rep").dropDuplicates(["rep"]).mapInArrow(_sets, "rep long, shingles binary"))
+    sets = written(texts.join(near_ids, "rep").dropDuplicates(["rep"]).mapInArrow(_sets, "rep long, n long, fine binary, shingles binary"))
+    own = sets.select("rep", "n", "fine")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}_{name}") for c in df.columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of pairs (a, b)."""
-        one = pairs.join(side(sets, "b"), F.col("b") == F.col("rep_b")).select("a", "b", "shingles_b")
-        two = one.join(side(sets, "a"), F.col("a") == F.col("rep_a"))
+        one = pairs.join(side(sets.select("rep", "shingles"), "b"), F.col("b") == F.col("rep_b")).select("a", "b", "shingles_b")
+        two = one.join(side(sets.select("rep", "shingles"), "a"), F.col("a") == F.col("rep_a"))
         return two.select("a", "b", _linked("shingles_a", "shingles_b").alias("linked"))
 
     first = bucketed.filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     first = first.join(side(own, "a"), F.col("a") == F.col("rep_a")).join(side(own, "b"), F.col("b") == F.col("rep_b"))
     first = first.filter(F.least("n_a", "n_b") * PART >= F.greatest("n_a", "n_b") * SHARE)
-    first = first.withColumn("similarity", _estimate("sketch_a", "sketch_b", "n_a", "n_b")).filter(F.col("similarity") >= LIKELY).select("a", "b")
+    first = first.withColumn("similarity", _estimate("fine_a", "fine_b", "n_a", "n_b")).filter(F.col("similarity") >= LIKELY).select("a", "b")
     tried = written(verified(written(first)))
-    tries = TRIES
+    labels, tries = components(tried.filter("linked")), TRIES
     while True:
-        labels = components(tried.filter("linked").select("a", "b"))
-        placed = bucketed.select("key", "rep").join(labels, bucketed.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        placed = written(placed)
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("members"))
-        main = main.filter("parts > 1").select("key", F.col("top.component").alias("main"), "members")
-        open_ = written(placed.join(main, "key"))
-        if open_.isEmpty():
-            return labels
-        pairs = written(_untried(open_, own, tried, tries))
-        if pairs.isEmpty():
+        found = written(_untried(_open(bucketed, labels), reps.select("rep", "sketch").join(own, "rep"), tries))
+        pairs = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        new = written(verified(pairs))
+        tried, tries = written(tried.union(new)), 16 * tries
+        if not new.filter("linked").isEmpty():
+            labels = components(tried.filter("linked"))
+        if found.filter("cut").isEmpty():  # every likely pair between components has been tried
             return labels
-        tried, tries = written(tried.union(verified(pairs))), 2 * tries
 
 
-def _untried(open_: DataFrame, own: DataFrame, tried: DataFrame, tries: int) -> DataFrame:
-    """Per member outside its bucket's main component and per other component, the likeliest partners not yet tried.
+def _open(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, band, rep, component) of buckets that hold several components, with the bucket's largest one and its size."""
+    placed = bucketed.select("key", "band", "rep").join(labels, bucketed.rep == labels.node, "left")
+    placed = written(placed.select("key", "band", "rep", F.coalesce("component", "rep").alias("component")))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("members"))
+    return placed.join(main.filter("parts > 1").select("key", F.col("top.component").alias("main"), "members"), "key")
 
-    Blocks of at most about BLOCK members meet each such member once; what leaves a block are its likely pairs only.
+
+def _untried(open_: DataFrame, own: DataFrame, tries: int) -> DataFrame:
+    """a, b, cut: likely pairs between components; per member outside its bucket's main component the likeliest partners of
+    each other component, and whether there were more.
+
+    Members are dealt into blocks of about BLOCK, which each such member meets once; what leaves a block are its likely
+    pairs only.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = open_.join(own, "rep").withColumn("blocks", blocks)
-    put = ["key", "block", "rep", "component", "n", "sketch", "asks"]
+    rows = open_.join(own, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    put = ["key", "block", "asks", "band", "rep", "component", "n", "sketch", "fine"]
     members = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(*put)
     asking = rows.filter("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)).select(*put)
+    dealt = members.unionByName(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+    return dealt.mapInArrow(lambda batches: _meetings(batches, tries), "a long, b long, cut boolean")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, ask = pdf[~pdf.asks], pdf[pdf.asks]
-        found = []
-        if len(held) and len(ask):
-            grid, n, comp, rep = _matrix(held.sketch), held.n.to_numpy(float), held.component.to_numpy(), held.rep.to_numpy()
-            for x in ask.itertuples():
-                fit = np.flatnonzero((comp != x.component) & (PART * np.minimum(n, x.n) >= SHARE * np.maximum(n, x.n)))
-                if len(fit):
-                    fit = fit[(grid[fit] == np.frombuffer(x.sketch, "<u2")).sum(1) >= ROWS]
-                if len(fit):
-                    est = likelihood(np.repeat(_matrix(pd.Series([x.sketch])), len(fit), 0), grid[fit], np.full(len(fit), float(x.n)), n[fit])
-                    found += [(x.rep, int(rep[k]), int(comp[k]), float(e)) for k, e in zip(fit, est, strict=True) if e >= LIKELY]
-        return pd.DataFrame(found, columns=["asker", "rep", "component", "similarity"])
-
-    found = members.unionByName(asking).groupBy("key", "block").applyInPandas(meet, "asker long, rep long, component long, similarity double")
-    found = found.withColumns({"a": F.least("asker", "rep"), "b": F.greatest("asker", "rep")}).dropDuplicates(["asker", "rep"])
-    found = found.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    best = Window.partitionBy("asker", "component").orderBy(F.desc("similarity"), "rep")
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= tries).select("a", "b").distinct()
+
+def _meetings(batches: Iterator[pa.RecordBatch], tries: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted: a block's members, which are held, then those that ask, which pass by one at a time."""
+    block, held, known = None, [], None
+    for batch in batches:
+        found: list[tuple[int, int, bool]] = []
+        for key, part, asks, band, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != (key, part):
+                block, held, known = (key, part), [], None
+            if not asks:
+                held.append(x)
+                continue
+            if known is None and held:
+                rep, comp, n, coarse, fine = zip(*held, strict=True)
+                known = np.array(rep), np.array(comp), np.array(n, float), np.frombuffer(b"".join(coarse), "<u8").reshape(len(held), BANDS), np.frombuffer(b"".join(fine), "<u2").reshape(len(held), FINE)
+            if known:
+                found += _likely(known, band, tries, *x)
+        a, b, cut = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+
+
+def _likely(known: tuple, band: int, tries: int, rep: int, comp: int, n: int, coarse: bytes, fine: bytes) -> list[tuple[int, int, bool]]:
+    """The likeliest partners of one member in other components of its block; each pair in the first band that it shares."""
+    reps, comps, sizes, bands, sketches = known
+    fit = np.flatnonzero((comps != comp) & (PART * np.minimum(sizes, n) >= SHARE * np.maximum(sizes, n)))
+    if len(fit):
+        fit = fit[(bands[fit] == np.frombuffer(coarse, "<u8")).argmax(1) == band]
+    own = np.frombuffer(fine, "<u2")
+    if len(fit):
+        fit = fit[(sketches[fit] == own).sum(1) >= EQUAL * FINE]
+    if not len(fit):
+        return []
+    est = likelihood(np.broadcast_to(own, (len(fit), FINE)), sketches[fit], np.full(len(fit), float(n)), sizes[fit])
+    fit, est = fit[est >= LIKELY], est[est >= LIKELY]
+    fit = fit[np.lexsort((reps[fit], -est, comps[fit]))]
+    place = np.arange(len(fit)) - np.searchsorted(comps[fit], comps[fit])
+    cut = bool((place >= tries).any())
+    return [(min(rep, y), max(rep, y), cut) for y in reps[fit[place < tries]].tolist()]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
