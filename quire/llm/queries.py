@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, near_dedup, quality
+from quire.llm import decontaminate, near_dedup, privacy, quality
 from quire.llm._core import table
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return privacy.pseudonymise(docs.withColumn("n_entities", privacy.count_entities("text")))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
