@@ -180,13 +180,15 @@ def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}_{name}") for c in df.columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) of pairs (a, b)."""
-        one = pairs.join(side(sets.select("rep", "shingles"), "b"), F.col("b") == F.col("rep_b")).select("a", "b", "shingles_b")
-        two = one.join(side(sets.select("rep", "shingles"), "a"), F.col("a") == F.col("rep_a"))
+        """(a, b, linked) of written pairs (a, b); only sets that take part are moved, and where the pairs are few, once."""
+        few, ids = broadcast_if_small(pairs, 16), broadcast_if_small(pairs.select(F.col("a").alias("rep")).distinct(), 8)
+        held = sets.select("rep", "shingles")
+        one = side(held, "b").join(few, F.col("b") == F.col("rep_b")).select("a", "b", "shingles_b")
+        two = one.join(side(held.join(ids, "rep"), "a"), F.col("a") == F.col("rep_a"))
         return two.select("a", "b", _linked("shingles_a", "shingles_b").alias("linked"))
 
     first = bucketed.filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    first = first.join(side(own, "a"), F.col("a") == F.col("rep_a")).join(side(own, "b"), F.col("b") == F.col("rep_b"))
+    first = broadcast_if_small(written(first), 16).join(side(own, "a"), F.col("a") == F.col("rep_a")).join(side(own, "b"), F.col("b") == F.col("rep_b"))
     first = first.filter(F.least("n_a", "n_b") * PART >= F.greatest("n_a", "n_b") * SHARE)
     first = first.withColumn("similarity", _estimate("fine_a", "fine_b", "n_a", "n_b")).filter(F.col("similarity") >= LIKELY).select("a", "b")
     tried = written(verified(written(first)))

@@ -145,16 +145,33 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            parts = [np.zeros(0)]
-            for i, j in runs(at):
-                x = np.array([features(data[a:b]) for a, b in zip(at[i:j], at[i + 1 : j + 1], strict=True)])
-                parts.append(np.where(np.diff(at[i : j + 1]) == 0, 0.0, model.score(x)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(data, at, model), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scored, f"doc_id {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least threshold, with all their columns; one pass, no shuffle."""
+    where = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column(where))
+            scores = _scores(data, at, model)
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
+def _scores(data: np.ndarray, at: np.ndarray, model: Model) -> np.ndarray:
+    parts = [np.zeros(0)]
+    for i, j in runs(at):
+        x = np.array([features(data[a:b]) for a, b in zip(at[i:j], at[i + 1 : j + 1], strict=True)])
+        parts.append(np.where(np.diff(at[i : j + 1]) == 0, 0.0, model.score(x)))
+    return np.concatenate(parts)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, by a model learned outside the held fold."""
     out = score(docs, learn(docs, labels, folds, held))

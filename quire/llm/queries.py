@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, near_dedup, privacy, quality
+from quire.llm import bpe, decontaminate, near_dedup, privacy, quality
 from quire.llm._core import table
 
 
+def vocabulary() -> str:
+    """The file of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return privacy.pseudonymise(docs.withColumn("n_entities", privacy.count_entities("text")))
@@ -28,6 +39,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_pii_surrogates": op2_pii_surrogates,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontamination": op8_decontamination,
