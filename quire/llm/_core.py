@@ -26,7 +26,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[k for k in range(128) if not chr(k).isalnum()]] = True
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_PLAIN = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER = _PLAIN.copy()
 _LOWER[0x41:0x5B] += np.uint64(32)
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -79,6 +80,12 @@ def runs(at: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def parts(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows of about limit bytes of text."""
+    for i, j in runs(utf8(batch.column(column))[1], limit):
+        yield batch.slice(i, j - i)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -97,8 +104,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes and first bytes of the words of UTF-8 bytes, A-Z lower-cased; by default words are [^\\x20\\x09-\\x0D]+.
+def word_hashes(data: np.ndarray, separator: np.ndarray = WHITE, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and first bytes of the words of UTF-8 bytes, A-Z lower-cased if fold; by default words are [^\\x20\\x09-\\x0D]+.
 
     Works through the bytes in chunks that end at separators, so a very long text needs little more than its words.
     """
@@ -117,7 +124,7 @@ def word_hashes(data: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.nda
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(start):
             up, down = _powers(len(part) + 1)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[part] * up[: len(part)])])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER if fold else _PLAIN)[part] * up[: len(part)])])
             hashes.append(mixed((total[stop] - total[start]) * down[start]))
             firsts.append(start + pos)
         pos = end
