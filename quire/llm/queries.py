@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, language, licenses, near_dedup, perplexity, privacy, quality, sharding
+from quire.llm import bpe, decontaminate, html_extract, language, licenses, near_dedup, perplexity, privacy, quality, sharding
 from quire.llm._core import table
 
 
@@ -27,6 +27,10 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.pseudonymise(docs.withColumn("n_entities", privacy.count_entities("text")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
