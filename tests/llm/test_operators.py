@@ -1,0 +1,416 @@
+"""Each training-data operator against brute force, an exact round trip or planted cases, with awkward rows among them."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quire.llm import bpe, decontaminate, html_extract, language, licenses, near_dedup, perplexity, privacy, quality, sharding
+from quire.llm._core import word_hashes
+from quire.llm.queries import vocabulary
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def prose(rng: random.Random, n: int) -> str:
+    return " ".join("".join(rng.choice(["an", "be", "co", "de", "er", "fi"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def awkward(spark):
+    """Nulls, empty and blank texts, ties, repeated rows, a very long text, and a column whose name clashes."""
+    rng = random.Random(5)
+    texts = [None, "", " \n\t ", "one", "one", "x" * 200_000, prose(rng, 30_000), "Ünï cödé 日本 🎉", prose(rng, 80), "\x00\x1f a b"]
+    rows = [(k, t, ["en", "de", None][k % 3], "a", len(t or "")) for k, t in enumerate(texts)] + [(3, "one", "en", "a", 3)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, token_ids string, n_chars long")
+
+
+def test_word_hashes_match_words():
+    rng = random.Random(1)
+    text = "".join(rng.choice("abAB é\n\t\x0b") for _ in range(5000)) + "y" * 1_200_000 + " z"
+    words = [w.translate(LOWER) for w in WORD.findall(text)]
+    hashes, _ = word_hashes(np.frombuffer(text.encode(), np.uint8))
+    assert len(hashes) == len(words) and len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words))
+
+
+# --- 1: byte-pair encoding
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.codec(vocabulary())
+
+
+def test_bpe_equals_library(codec, monkeypatch):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(vocabulary())
+    monkeypatch.setattr(bpe, "BUFFER", 8)
+    monkeypatch.setattr(bpe, "WINDOW", 50)
+    rng = random.Random(2)
+    parts = ["a", "the", "ing", " ", "  ", "\n", "é", "ß", "12", "'s", "'ll", "$$", "日", "🎉", "<|endoftext|>", "　", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 150))) for _ in range(300)]
+    texts += ["".join(rng.choice("etaoin") for _ in range(4000)) for _ in range(20)] + ["a" * 3000, "", " " * 500 + "x"]
+    for text in texts:
+        codec.known.clear()
+        pieces = [p for p in codec.encode(text) if p]
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert [int(i) for p in pieces for i in p.split(",")] == ids
+        assert "".join(codec.decode(pieces)) == reference.decode(ids, skip_special_tokens=False)
+    assert 0 < codec.lookahead < 200
+
+
+def test_bpe_queries(spark):
+    docs = awkward(spark)
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(vocabulary())
+    for row, text in zip(bpe.digests(docs, vocabulary()).collect(), [r.text for r in docs.collect()], strict=True):
+        ids = reference.encode(text or "", add_special_tokens=False).ids
+        assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    back = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()).collect()
+    assert all(r.decoded == (r.text or "") for r in back)
+    assert bpe.encode(docs.limit(0), vocabulary()).count() == 0
+
+
+# --- 2: personal data
+
+
+def test_surrogates(spark):
+    texts = [
+        "mail jo.81@mail7.example.com or JO.81@MAIL7.EXAMPLE.COM!! call +1 (017) 555-7713%%% from 226.203.165.104.",
+        'card 4845168114407329$$$ token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" 123-45-6789',
+        "Ask Mr. Smith and Frau Anna Müller; write ключ@почта.рф",
+        "clean text, version 2.0, in 1999 and 12.5 percent", None, "", "jo.81@mail7.example.com",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in privacy.pseudonymise(docs).orderBy("doc_id").collect()]
+    assert out[3:6] == texts[3:6]
+    for secret in ("jo.81@", "555-7713", "226.203.165.104", "4845168114407329", "2abc3ff2", "123-45-6789", "Smith", "Müller", "ключ"):
+        assert secret.lower() not in " ".join(x or "" for x in out).lower()
+    mails = re.findall(r"\S+@[A-Za-z.]+", out[0])
+    assert mails[0] == mails[1].lower() and mails[1] == mails[1].upper() and out[6] == mails[0]
+    assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4}%%% from (\d{1,3}\.){3}\d{1,3}\.$", out[0])
+    assert re.fullmatch(r'card \d{16}\$\$\$ token = "[0-9a-f]{40}" \d{3}-\d{2}-\d{4}', out[1])
+    assert re.match(r"Ask Mr\. [A-Z][a-z]+ and Frau [A-Z][a-z]+ [A-Z][a-z]+; write [а-я]+@", out[2])
+    counts = docs.select(privacy.count_entities("text").alias("n")).collect()
+    assert [r.n for r in counts] == [4, 3, 3, 0, 0, 0, 1]
+
+
+def test_surrogates_keep_entities_apart(spark):
+    rows = [(k, f"{4000000000000000 + k} u{k}@a.org 10.0.{k // 250}.{k % 250}") for k in range(2000)]
+    out = privacy.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for place in range(3):
+        assert len({r.text.split(" ")[place] for r in out}) == 2000
+
+
+# --- 3: html
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<body><nav><a href="/">x</a></nav><article><h1>T &amp; x</h1><p>One <b>bo</b>ld<p>Two&nbsp;three<br>four</article><footer>f', "T & x One bold Two three four"),
+    ('<div class="content">a<div class="comments"><p>c</p></div><form>f</form></div><div class="cookie-notice">n</div>', "a"),
+    ('<div class="sidebar-right"><main><header><h1>H</h1></header><p>y</p><aside>z</aside></main></div>', "H y"),
+    ("<script>if (a<b) '</p>'</script>plain < text <!-- no --> &lt;", "plain < text <"),
+    ("", ""), ("<p ", ""),
+])
+def test_main_text(page, text):
+    assert html_extract.main_text(page, frozenset(), {}) == text
+
+
+def test_wrappers_find_templates(spark):
+    pages = [(k, f"http://h.example/{k}", f"<body><div><p>Same words everywhere</p></div><section><p>Text {k} {'is long ' * k}</p></section></body>") for k in range(6)]
+    pages += [(6, None, None), (7, "", ""), (8, "http://other.example", "<p>Same words everywhere</p>")]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Text 3 is long is long is long" and out[6] == out[7] == "" and out[8] == "Same words everywhere"
+
+
+# --- 4: perplexity rules
+
+
+def base(text: str) -> tuple[int, ...]:
+    words = WORD.findall(text)
+    found = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + j for i in range(len(words) - 2) if found[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), again, len(covered)
+
+
+def test_base_rules():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b", "A", "é", " ", "\n", "\x0b", "&", " ", "a b c"]) for _ in range(rng.randint(0, 60)))
+        assert perplexity.base(np.frombuffer(text.encode(), np.uint8)) == base(text)
+
+
+def test_kneser_ney_sums_to_one_and_matches_plain_form():
+    text = "the cat sat on the mat and the rat sat on the cat " * 3
+    packed = perplexity.grams(np.frombuffer(text.encode(), np.uint8))
+    keys, counts = np.unique(packed, return_counts=True)
+    model = perplexity.kneser_ney(np.zeros(len(keys), np.int64), keys, counts, {"en": 0})
+    table = model.table(0)
+    for context in (0, int(packed[9] >> 5), 12345):
+        assert np.exp(table[context << 5 : (context + 1) << 5].astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    # the lowest order: distinct left neighbours, discounted, plus the uniform share
+    bigrams = {(int(g) >> 5 & 31, int(g) & 31) for g in keys}
+    follows = Counter(b for _, b in bigrams)
+    n1, n2, n3, n4 = (sum(c == k for c in follows.values()) for k in (1, 2, 3, 4))
+    y = n1 / max(n1 + 2 * n2, 1)
+    cut = [min(max(c - (c + 1) * y * b / max(a, 1), 0.1), c - 0.1) for c, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    freed = sum(cut[min(c, 3) - 1] for c in follows.values()) / len(bigrams)
+    for symbol, c in follows.items():
+        at = np.searchsorted(model.grams[0][0], symbol)
+        assert np.exp(model.grams[0][1][at]) == pytest.approx((c - cut[min(c, 3) - 1]) / len(bigrams) + freed / 32, rel=1e-4)
+
+
+def test_perplexity_rules(spark):
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 120), "en") for k in range(60)] + [(100, " ".join("".join(rng.choice("qxzjvwk9#") for _ in range(6)) for _ in range(120)), "en"), (101, None, None), (102, "few words", "en")]
+    out = {r.doc_id: r for r in perplexity.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[k].kept for k in range(60)) and not out[100].kept and not out[100].base_failed
+    assert out[101].base_failed and not out[101].kept and out[101].n_words == 0 and out[102].base_failed
+    assert perplexity.apply_rules(awkward(spark)).count() == 11
+    assert perplexity.apply_rules(awkward(spark).limit(0)).count() == 0
+
+
+# --- 5: shards
+
+
+def test_shards(spark):
+    rng = random.Random(6)
+    rows = [(k, "copy of a text" if k % 3 == 0 else prose(rng, rng.randint(0, 60))) for k in range(900)] + [(1000, None), (1000, None), (None, "x")]
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+    total, most = sum(sizes.values()), max(r.size for r in out)
+    assert set(sizes) == set(range(8)) and all(abs(s - total / 8) <= most for s in sizes.values())
+    for shard in range(8):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+    texts = dict(rows)
+    assert all(r.size == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in out)
+    assert sharding.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_overfull_ranges_are_subdivided(spark):
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN 7L ELSE xxhash64(id) END AS key", "xxhash64(id) AS sub", "10L AS size")
+    splits = sharding.splitters(rows, 40_000, 64)
+    sizes = rows.groupBy(sharding._range_of(rows.key, rows.sub, splits)).sum("size").collect()
+    assert max(r[1] for r in sizes) <= 2 * 40_000 // 64
+
+
+# --- 6: language
+
+
+def test_language(spark):
+    rng = random.Random(7)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(30))
+    rows = [(k, make(["tion", "ing", "the"]) if k % 2 else make(["ung", "sch", "über"]), "en" if k % 2 else "de") for k in range(200)]
+    rows += [(1000, None, "en"), (1001, "123 !!", "de"), (1002, "", None)]
+    out = {r.doc_id: r for r in language.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[k].lang_pred == lang for k, _, lang in rows[:200])
+    assert all(out[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, _, _ in rows)
+    assert [out[k].lang_pred for k in (1000, 1001, 1002)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in out.values())
+    assert {r.lang_pred for r in language.classify(spark.createDataFrame([(2, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
+
+
+def test_filters_contain_what_they_own():
+    filters = language.Filters.of(np.array(["a", "a", "b"]), np.array([1, 2, 3]), np.array([5, 5, 5]))
+    masks = filters.masks(np.array([1, 2, 3, 99]))[0]
+    assert [int(m) for m in masks] == [1, 1, 2, 0]
+
+
+# --- 7: near duplicates
+
+
+def shingles(text: str | None) -> frozenset:
+    words = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_classes(rows: list[tuple[int, str | None]]) -> dict[int, int]:
+    sets, parent = [(i, shingles(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i, _ in rows}
+
+
+def near_rows(n: int) -> list[tuple[int, str | None]]:
+    rng = random.Random(9)
+    rows: list[tuple[int, str | None]] = [(0, None), (1, ""), (2, "one two"), (3, "ONE two"), (4, "a " * 50_000)]
+    seed = prose(rng, 120).split()
+    for k in range(5, n):
+        words = list(seed) if k % 3 else prose(rng, rng.randint(3, 150)).split()
+        for _ in range(rng.randint(0, 6) if k % 3 else 0):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_near_duplicates(spark):
+    rows = near_rows(260)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    classes = brute_classes(rows)
+    assert {r.doc_id: r.component_id for r in out} == classes
+    assert all(r.n_shingles == len(shingles(dict(rows)[r.doc_id])) and r.kept == (r.doc_id == r.component_id) for r in out)
+
+
+def test_near_duplicates_in_small_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "TRIES", 1)
+    rows = near_rows(150)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute_classes(rows)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert near_dedup.near_duplicates(awkward(spark)).count() == 11
+
+
+def test_estimates_follow_similarity():
+    rng = np.random.default_rng(1)
+    for share in (0.5, 0.75, 0.9):
+        both = rng.integers(0, 1 << 63, int(2000 * share), dtype=np.uint64)
+        sets = [np.unique(np.concatenate([both, rng.integers(0, 1 << 63, int(1000 * (1 - share)), dtype=np.uint64)])) for _ in range(2)]
+        true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+        a, b = (near_dedup.set_sketches([s], near_dedup.REGISTERS, near_dedup.FINE, near_dedup.ESTIMATING) for s in sets)
+        found = near_dedup.likelihood(a, b, np.array([float(len(sets[0]))]), np.array([float(len(sets[1]))]))[0]
+        assert abs(found - true) < 0.08
+
+
+# --- 8: benchmark items
+
+
+def test_myers_distance():
+    rng = random.Random(10)
+    for _ in range(800):
+        p, t = ([rng.randint(0, 3) for _ in range(rng.randint(a, b))] for a, b in ((1, 12), (0, 15)))
+        row = [0] * (len(t) + 1)
+        for i, x in enumerate(p, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        masks: dict[int, int] = {}
+        for k, x in enumerate(p):
+            masks[x] = masks.get(x, 0) | 1 << k
+        assert decontaminate.distance(masks, len(p), t)[0] == min(row)
+
+
+def test_decontamination(spark):
+    rng = random.Random(11)
+    items = [(k, prose(rng, 40)) for k in range(6)] + [(6, None), (7, "")]
+    item = items[2][1].split()
+    edited = item[:10] + ["new"] + item[11:20] + item[21:30] + ["more", *item[30:]]
+    spoilt = [w if k % 4 else "zz" for k, w in enumerate(item)]
+    around = prose(rng, 50)
+    rows = [(0, f"{around} {items[0][1]} {around}"), (1, items[1][1].upper().replace(" ", "!! ")), (2, f"{around} {' '.join(edited)}"), (3, " ".join(spoilt)), (4, around), (5, None), (6, ""), (None, items[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find(docs, bench).collect()}
+    assert found == {(0, 0): 0, (1, 1): 0, (2, 2): 3, (None, 3): 0}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5, 6]
+    assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    rng = random.Random(12)
+    items = [(k, prose(rng, 20)) for k in range(12)]
+    docs = spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()} >= {(k, k) for k in range(12)}
+
+
+# --- 9: licences
+
+
+def test_license_scan(spark):
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rng = random.Random(13)
+    texts = [None, "", "mit license MIT-License,cc by cc by", "Under the GNU General Public License, version 3.", "mit einer Lizenz", "All rights reserved."]
+    texts += [" ".join(rng.choice(["mit", "license", "cc", "by", "gnu general public", "apache", "é"]) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        words = pattern.findall((text or "").translate(LOWER))
+        at = [(i, label) for phrase, label in phrases.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        r = out[k]
+        assert (r.n_words, r.n_base) == (len(words), len(at)) and r.base_labels == ",".join(sorted({x for _, x in at}))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert out[5].labels == "reserved" and out[5].base_labels == ""
+
+
+def test_license_notice_without_base_phrase(spark):
+    text = "foo bar. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.labels, r.base_labels, r.n_base) == ("mit", "", 0) and r.score > 0.6
+
+
+# --- 10: quality
+
+
+def test_quality(spark):
+    rng = random.Random(14)
+    junk = lambda: " ".join(w + rng.choice(["###", "$$$", "&&&"]) for w in prose(rng, 60).split())
+    rows = [(k, junk() if k % 5 == 0 else prose(rng, 60)) for k in range(600)] + [(1000, None), (1001, "")]
+    labels = [(k, 0 if k % 5 == 0 else 1) for k in range(0, 600, 2)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality.classify(docs, marks).collect()}
+    assert np.mean([out[k].predicted == (k % 5 != 0) for k in range(600) if out[k].held_out]) > 0.97
+    assert all(out[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= out[k].score <= 1 for k in out)
+    assert out[1000].score == out[1001].score == 0 and len(out) == 602
+    assert quality.classify(docs, marks.limit(0)).count() == 602 and quality.classify(docs.limit(0), marks).count() == 0
+
+
+def test_risk_never_goes_negative_for_long():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, quality.N_FEATURES))
+    x[:200] += 1
+    model = quality.fit(x[:100], x, 0.5, epochs=20)
+    assert (model.score(x[:200]) > model.score(x[200:]).mean()).mean() > 0.9
+
+
+# --- pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    items = [(k, prose(rng, 40)) for k in range(3)]
+    good = [prose(rng, 150) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(good)]
+    rows += [(100 + k, " ".join(w + "###" for w in prose(rng, 100).split())) for k in range(20)]
+    rows += [(200, good[3]), (201, good[4] + " more"), (202, f"{prose(rng, 60)} {items[1][1]}"), (203, f"{prose(rng, 100)} jo.1@mail.example.com"), (204, None), (205, "")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1 if k < 100 else 0, 0) for k in [*range(60), *range(100, 120)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == {*range(60), 203}
+    text = "".join(bpe.codec(vocabulary()).decode([",".join(map(str, out[203].token_ids))]))
+    assert "jo.1@mail" not in text and text.startswith(dict(rows)[203][:300])
+    assert "".join(bpe.codec(vocabulary()).decode([",".join(map(str, out[5].token_ids))])) == good[5] and out[5].n_tokens == len(out[5].token_ids)
