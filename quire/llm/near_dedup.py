@@ -38,8 +38,10 @@ SHARE, PART = 75, 100
 BANDS, ROWS = 32, 4
 #: Registers that are banded, and those that estimate similarities (drawn independently, for bucketed documents only).
 REGISTERS, FINE = BANDS * ROWS, 512
-#: Register k stands for minima in (B ** -k, B ** (1 - k)] / RATE; values end at Q + 1.
-B, RATE, Q = 1.001, 20.0, (1 << 16) - 2
+#: Register k stands for minima in (b ** -k, b ** (1 - k)] / RATE and ends at q + 1: banded registers take two bytes and a
+#: small base, so that equal ones mean equal minima; estimating ones take a byte.
+RATE, BANDED, ESTIMATING = 20.0, (1.001, (1 << 16) - 2, "<u2"), (1.1, (1 << 8) - 2, "u1")
+B = ESTIMATING[0]
 #: Pairs whose likeliest similarity is below this are not verified: 0.75 less 3.7 standard errors of 512 registers; nor is
 #: a pair with a smaller share of equal registers than EQUAL.
 LIKELY, EQUAL = 0.68, 0.65
@@ -52,13 +54,14 @@ _FACTORS = mixed(_SEEDS) | np.uint64(1)
 SKETCH_TYPE = "doc_id long, n_shingles long, set_id binary, sketch binary"
 
 
-def registers(minima: np.ndarray) -> np.ndarray:
-    """Register values of 32-bit hash minima: floor(1 - log_B of the exponential minimum), truncated."""
+def registers(minima: np.ndarray, kind: tuple[float, int, str]) -> np.ndarray:
+    """Register values of 32-bit hash minima: floor(1 - log_b of the exponential minimum), truncated to [0, q + 1]."""
+    base, q, dtype = kind
     u = (minima.astype(np.float64) + 0.5) / 2.0**32
-    return np.clip(np.floor(1 - np.log(-np.log1p(-u) / RATE) / np.log(B)), 0, Q + 1).astype("<u2")
+    return np.clip(np.floor(1 - np.log(-np.log1p(-u) / RATE) / np.log(base)), 0, q + 1).astype(dtype)
 
 
-def set_sketches(sets: list[np.ndarray], skip: int, count: int) -> np.ndarray:
+def set_sketches(sets: list[np.ndarray], skip: int, count: int, kind: tuple[float, int, str]) -> np.ndarray:
     """Registers skip to skip + count of non-empty sets of hashes, a row each; either half of a product serves a register."""
     minima = np.zeros((len(sets), count), np.uint32)
     if len(sets):
@@ -68,7 +71,7 @@ def set_sketches(sets: list[np.ndarray], skip: int, count: int) -> np.ndarray:
             halves = ((h ^ _SEEDS[skip // 2 + k]) * _FACTORS[skip // 2 + k]).view(np.uint32)
             minima[:, 2 * k] = np.minimum.reduceat(halves[1::2], begin)
             minima[:, 2 * k + 1] = np.minimum.reduceat(halves[::2], begin)
-    return registers(minima)
+    return registers(minima, kind)
 
 
 def shingles_of(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -86,7 +89,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, ids, sketches = [], [], []
         for i, j in runs(at):
             sets = shingles_of(data, at[i : j + 1])
-            rows = iter(set_sketches([x for x in sets if len(x)], 0, REGISTERS))
+            rows = iter(set_sketches([x for x in sets if len(x)], 0, REGISTERS, BANDED))
             for s in sets:
                 counts.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -119,7 +122,7 @@ def likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), FINE)
+    return np.frombuffer(b"".join(column), "u1").reshape(len(column), FINE)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -143,9 +146,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = utf8(batch.column(1))
         sets = [x for i, j in runs(at) for x in shingles_of(data, at[i : j + 1])]
-        fine = [row.tobytes() for x in sets for row in set_sketches([x], REGISTERS, FINE)]
+        fine = [row.tobytes() for x in sets for row in set_sketches([x], REGISTERS, FINE, ESTIMATING)]
+        bands = [(mixed(row.view("<u8")) >> np.uint64(32)).astype("<u4").tobytes() for x in sets for row in set_sketches([x], 0, REGISTERS, BANDED)]
         shingles = pa.array([x.astype("<u8").tobytes() for x in sets], pa.large_binary()).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fine, pa.binary()), shingles], names=["rep", "n", "fine", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bands, pa.binary()), pa.array(fine, pa.binary()), shingles], names=["rep", "n", "bands", "fine", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,8 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """node, component of the linked ones among the representatives (rep, n, copies, sketch); docs has their texts."""
+def classes(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
+    """node, component of the linked ones among the representatives (rep, copies, sketch); docs has their texts, and
+    ids in several rows if repeated."""
     band = lambda k: F.xxhash64(F.lit(k), F.expr(f"substring(sketch, {2 * ROWS * k + 1}, {2 * ROWS})"))
     keys = reps.select("rep", "copies", F.posexplode(F.array(*[band(k) for k in range(BANDS)])).alias("band", "key"))
     hubs = keys.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("members"))
@@ -173,8 +178,11 @@ def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
     inside = written(bucketed.select("rep").distinct())
     near_ids = broadcast_if_small(inside, 16)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    sets = written(texts.join(near_ids, "rep").dropDuplicates(["rep"]).mapInArrow(_sets, "rep long, n long, fine binary, shingles binary"))
-    own = sets.select("rep", "n", "fine")
+    texts = texts.join(near_ids, "rep")
+    if repeated:
+        texts = texts.dropDuplicates(["rep"])
+    sets = written(texts.mapInArrow(_sets, "rep long, n long, bands binary, fine binary, shingles binary"))
+    own = sets.select("rep", "n", "bands", "fine")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}_{name}") for c in df.columns])
@@ -188,13 +196,13 @@ def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
         return two.select("a", "b", _linked("shingles_a", "shingles_b").alias("linked"))
 
     first = bucketed.filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    first = broadcast_if_small(written(first), 16).join(side(own, "a"), F.col("a") == F.col("rep_a")).join(side(own, "b"), F.col("b") == F.col("rep_b"))
+    first = broadcast_if_small(written(first), 16).join(side(own.drop("bands"), "a"), F.col("a") == F.col("rep_a")).join(side(own.drop("bands"), "b"), F.col("b") == F.col("rep_b"))
     first = first.filter(F.least("n_a", "n_b") * PART >= F.greatest("n_a", "n_b") * SHARE)
     first = first.withColumn("similarity", _estimate("fine_a", "fine_b", "n_a", "n_b")).filter(F.col("similarity") >= LIKELY).select("a", "b")
     tried = written(verified(written(first)))
     labels, tries = components(tried.filter("linked")), TRIES
     while True:
-        found = written(_untried(_open(bucketed, labels), reps.select("rep", "sketch").join(own, "rep"), tries))
+        found = written(_untried(_open(bucketed, labels), own, tries))
         pairs = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         new = written(verified(pairs))
         tried, tries = written(tried.union(new)), 16 * tries
@@ -221,7 +229,7 @@ def _untried(open_: DataFrame, own: DataFrame, tries: int) -> DataFrame:
     pairs only.
     """
     rows = open_.join(own, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    put = ["key", "block", "asks", "band", "rep", "component", "n", "sketch", "fine"]
+    put = ["key", "block", "asks", "band", "rep", "component", "n", "bands", "fine"]
     members = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(*put)
     asking = rows.filter("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)).select(*put)
     dealt = members.unionByName(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
@@ -241,7 +249,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], tries: int) -> Iterator[pa.Reco
                 continue
             if known is None and held:
                 rep, comp, n, coarse, fine = zip(*held, strict=True)
-                known = np.array(rep), np.array(comp), np.array(n, float), np.frombuffer(b"".join(coarse), "<u8").reshape(len(held), BANDS), np.frombuffer(b"".join(fine), "<u2").reshape(len(held), FINE)
+                known = np.array(rep), np.array(comp), np.array(n, float), np.frombuffer(b"".join(coarse), "<u4").reshape(len(held), BANDS), np.frombuffer(b"".join(fine), "u1").reshape(len(held), FINE)
             if known:
                 found += _likely(known, band, tries, *x)
         a, b, cut = zip(*found, strict=True) if found else ((), (), ())
@@ -253,8 +261,8 @@ def _likely(known: tuple, band: int, tries: int, rep: int, comp: int, n: int, co
     reps, comps, sizes, bands, sketches = known
     fit = np.flatnonzero((comps != comp) & (PART * np.minimum(sizes, n) >= SHARE * np.maximum(sizes, n)))
     if len(fit):
-        fit = fit[(bands[fit] == np.frombuffer(coarse, "<u8")).argmax(1) == band]
-    own = np.frombuffer(fine, "<u2")
+        fit = fit[(bands[fit] == np.frombuffer(coarse, "<u4")).argmax(1) == band]
+    own = np.frombuffer(fine, "u1")
     if len(fit):
         fit = fit[(sketches[fit] == own).sum(1) >= EQUAL * FINE]
     if not len(fit):
@@ -270,9 +278,10 @@ def _likely(known: tuple, band: int, tries: int, rep: int, comp: int, n: int, co
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); kept marks one document of each class."""
     all_ = written(sketch(docs))
-    reps = all_.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    reps = all_.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     reps = written(reps)
-    linked = classes(docs, reps.select("rep", "n", "copies", "sketch"))
+    repeated = not all_.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    linked = classes(docs, reps.select("rep", "copies", "sketch"), repeated)
     rep = reps.join(linked, reps.rep == linked.node, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n_shingles", "set_id").join(rep, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
