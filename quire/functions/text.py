@@ -58,7 +58,7 @@ def ocr_normalised(text: Column, punctuation: str = "ignore") -> Column:
     """Lower case, single blanks; punctuation dropped (ignore), quotes and dashes unified (normalize), or kept (strict)."""
     t = F.lower(F.coalesce(text, F.lit("")))
     if punctuation == "ignore":
-        t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", "")
+        t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " ")
     elif punctuation == "normalize":
         t = F.regexp_replace(F.regexp_replace(t, "[“”„]", '"'), "[–—]", "-")
     return squeezed(t)
@@ -193,11 +193,29 @@ def is_person_name(text: Column) -> Column:
 
 
 def issue_date(name: Column) -> Column:
-    """The ISO date in a file name: year first, day last, or compact; months and days are only checked for their range."""
-    date = lambda p, y, m, d: F.concat_ws("-", F.regexp_extract(name, p, y), F.regexp_extract(name, p, m), F.regexp_extract(name, p, d))
-    month, day, year = "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])", "((?:19|20)[0-9]{2})"
-    forms = [(f"{year}[-_]{month}[-_]{day}", 1, 2, 3), (f"{month}[-_]{day}[-_]{year}", 3, 1, 2), (f"{year}{month}{day}", 1, 2, 3)]
-    out = F.lit(None).cast("string")
-    for p, *at in reversed(forms):
-        out = F.when(name.rlike(p), date(p, *at)).otherwise(out)
-    return out
+    """The ISO date in a file name: year first, compact, or year last; months and days are only checked for their range."""
+
+    def date(pattern: str, y: int, m: int, d: int) -> Column:
+        year, month, day = (F.regexp_extract(name, pattern, k).cast("int") for k in (y, m, d))
+        fits = name.rlike(pattern) & year.between(1900, 2100) & month.between(1, 12) & day.between(1, 31)
+        return F.when(fits, F.format_string("%04d-%02d-%02d", year, month, day))
+
+    return F.coalesce(
+        date(r"(\d{4})[-_](\d{2})[-_](\d{2})", 1, 2, 3), date(r"(\d{4})(\d{2})(\d{2})", 1, 2, 3), date(r"(\d{2})[-_](\d{2})[-_](\d{4})", 3, 1, 2), date(r"(\d{1,2})[-_](\d{1,2})[-_](\d{4})", 3, 1, 2)
+    )
+
+
+# File name patterns of brands, in order.
+BRANDS = [
+    (r"economist[_\-\s]", "economist"), (r"time[_\-\s]magazine", "time"), (r"time[_\-\s]", "time"), (r"vogue[_\-\s]", "vogue"), (r"newsweek[_\-\s]", "newsweek"), (r"national[_\-\s]geographic", "national_geographic"),
+    (r"natgeo[_\-\s]", "national_geographic"), (r"fortune[_\-\s]", "fortune"), (r"forbes[_\-\s]", "forbes"), (r"wired[_\-\s]", "wired"), (r"atlantic[_\-\s]", "atlantic"), (r"new[_\-\s]yorker", "new_yorker"), (r"newyorker[_\-\s]", "new_yorker"),
+    (r"harper[_\-\s]?s?[_\-\s]?bazaar", "harpers_bazaar"), (r"elle[_\-\s]", "elle"), (r"cosmopolitan[_\-\s]", "cosmopolitan"), (r"cosmo[_\-\s]", "cosmopolitan"), (r"rolling[_\-\s]stone", "rolling_stone"), (r"people[_\-\s]", "people"),
+    (r"entertainment[_\-\s]weekly", "entertainment_weekly"), (r"vanity[_\-\s]fair", "vanity_fair"), (r"scientific[_\-\s]american", "scientific_american"),
+]
+
+
+def brand(path: Column) -> Column:
+    """The brand that a file's name tells, else the one its folder tells; null if neither does."""
+    low = F.lower(path)
+    folder = F.regexp_extract(low, r"([^/]*)/[^/]*$", 1)
+    return F.coalesce(*(F.when(low.rlike(p), b) for p, b in BRANDS), *(F.when(folder.rlike(p.replace(r"[_\-\s]", "")), b) for p, b in BRANDS))
