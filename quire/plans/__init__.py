@@ -1 +1,5 @@
-"""quire."""
+"""Registered queries: each module has QUERIES and the ORACLE_SQL of those that SQL can express."""
+
+from quire.plans import documents, evaluation
+
+MODULES = [evaluation, documents]
