@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES and the ORACLE_SQL of those that SQL can express."""
 
-from quire.plans import documents, evaluation
+from quire.plans import documents, evaluation, records
 
-MODULES = [evaluation, documents]
+MODULES = [evaluation, documents, records]
