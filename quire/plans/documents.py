@@ -89,9 +89,15 @@ S.SQL["steps"] = (
     "steps AS (SELECT job_id, stage, CASE WHEN i + 1 < job_id % 7 + 1 THEN 'completed' WHEN status = 'completed' THEN 'completed' WHEN status = 'running' THEN 'in_progress' ELSE 'failed' END AS status, CAST(job_id % 5 AS INTEGER) AS attempts FROM jobs JOIN names ON i < job_id % 7 + 1), "
     "needs(stage, needs) AS (VALUES " + ", ".join(f"('{s}', '{n}')" for s, ns in J.STAGES.items() for n in ns) + ")"
 )
-_FILE = F.concat(F.element_at(F.array(*map(F.lit, ["economist", "time", "vogue", "misc", "wired"])), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit("_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".pdf"))
+def _file():
+    return F.concat(F.element_at(F.array(*map(F.lit, ["economist", "time", "vogue", "misc", "wired"])), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit("_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".pdf"))
+
+
 S.SQL["files"] = "files AS (SELECT o_orderkey AS job_id, ['economist', 'time', 'vogue', 'misc', 'wired'][CAST(o_orderkey % 5 AS INTEGER) + 1] || '_' || strftime(o_orderdate, '%Y-%m-%d') || '.pdf' AS name FROM orders)"
-_TITLE = F.concat(F.lit("Dr. "), "c_name", F.lit(" &  Prof Co. "), "c_mktsegment")
+
+
+def _title():
+    return F.concat(F.lit("Dr. "), "c_name", F.lit(" &  Prof Co. "), "c_mktsegment")
 
 
 QUERIES = {
@@ -109,11 +115,11 @@ QUERIES = {
     "best_caption": lambda s, d: shaped(L.best_caption(_candidates(s, d))),
     "match_confidence": lambda s, d: shaped(L.match_confidence(_candidates(s, d)).select("image_id", "line_no", "confidence")),
     "greedy_assign": lambda s, d: shaped(L.greedy_pairs(L.match_confidence(_candidates(s, d)))),
-    "title_normalize": lambda s, d: S.table(s, d, "customer").select("c_custkey", T.normalised_title(_TITLE).alias("title")),
+    "title_normalize": lambda s, d: S.table(s, d, "customer").select("c_custkey", T.normalised_title(_title()).alias("title")),
     "title_case_ratio": lambda s, d: shaped(S.blocks(s, d).filter("n_words BETWEEN 3 AND 20").select("doc_id", "line_no", T.title_case_ratio(F.col("text")).alias("share"))),
     "continuation_markers": lambda s, d: shaped(S.table(s, d, "part").select("p_partkey", F.explode(T.continuation_markers(F.concat("p_name", F.lit(" Continued on page "), F.col("p_size").cast("string"), F.lit(" (cont.) see page 4")))).alias("m")).select("p_partkey", "m.*")),
     "caption_keywords": lambda s, d: shaped(S.table(s, d, "part").select("p_partkey", F.concat(F.lit("Photo by "), "p_type", F.lit(": "), "p_name").alias("t")).select("p_partkey", F.array_join(T.caption_keywords(F.col("t")), ",").alias("keywords"), T.semantic_confidence(T.caption_keywords(F.col("t")), F.col("t")).alias("confidence"))),
-    "brand_from_name": lambda s, d: S.table(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), T.brand(_FILE).alias("brand"), T.issue_date(_FILE).alias("issue_date")),
+    "brand_from_name": lambda s, d: S.table(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), T.brand(_file()).alias("brand"), T.issue_date(_file()).alias("issue_date")),
     "name_parse": lambda s, d: shaped(S.table(s, d, "supplier").select("s_suppkey", T.person_name(F.concat(F.lit("Dr. Ana Maria "), F.regexp_replace("s_name", "#", " "), F.lit(", Jr."))).alias("n")).select("s_suppkey", "n.*")),
     "graph_stats": lambda s, d: shaped((lambda n: G.statistics(n, G.follows(n)))(_nodes(s, d))),
     "singletons": lambda s, d: (lambda n: n.join(G.follows(n).select("doc_id", F.col("src").alias("node")).union(G.follows(n).select("doc_id", "dst")), ["doc_id", "node"], "left_anti").select("doc_id", "node"))(_nodes(s, d)),
@@ -157,7 +163,7 @@ ORACLE_SQL = {
     ),
     "spatial_edges": oracle("blocks pairs", "SELECT * FROM relations", "doc_id page src dst relation ~confidence"),
     "pruned_edges": oracle("blocks pairs", "SELECT relation, count(*) AS edges FROM relations WHERE confidence >= 0.3::DOUBLE GROUP BY relation", "relation edges"),
-    "caption_candidates": oracle("blocks images candidates", "SELECT * FROM candidates", "image_id line_no ~distance ~proximity match_type ~layout CAST(rank AS INTEGER) AS rank competitors"),
+    "caption_candidates": oracle("blocks images candidates", "SELECT * FROM candidates", "image_id line_no ~distance ~proximity match_type ~layout rank competitors"),
     "best_caption": oracle("blocks images candidates", "SELECT * FROM candidates WHERE rank = 1", "doc_id image_id line_no ~distance"),
     "match_confidence": oracle(
         "blocks images candidates",
