@@ -146,3 +146,64 @@ def test_entry_works_without_training_data(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
     assert "drift_report" in names and not any(n.startswith("op") and n[2:3].isdigit() for n in names) and "pipeline" not in names
+
+
+PDF = b"""%PDF-1.4
+1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
+2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj
+3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R >> endobj
+4 0 obj << /Length 60 >> stream
+BT /F1 18 Tf 50 700 Td (Hello \\(you\\)) Tj 0 -20 Td [(wo) -20 (rld)] TJ ET
+endstream endobj
+5 0 obj << /Type /XObject /Subtype /Image /Width 200 /Height 100 >> endobj
+6 0 obj << /Title (A title) /Author (Ann) /CreationDate (D:20240305120000) >> endobj
+xref
+trailer << /Root 1 0 R /Info 6 0 R >>
+%%EOF
+"""
+
+
+def test_pdf(spark, tmp_path):
+    from quire.sources import pdf
+
+    (tmp_path / "a.pdf").write_bytes(PDF)
+    (tmp_path / "b.pdf").write_bytes(b"junk")
+    files = pdf.read(spark, str(tmp_path))
+    assert [(r.text, r.x0, r.y0, r.font_size) for r in pdf.read_blocks(files).orderBy("block").collect()] == [("Hello (you)", 50.0, 700.0, 18.0), ("world", 50.0, 680.0, 18.0)]
+    assert [(r.width, r.height) for r in pdf.read_images(files).collect()] == [(200, 100)] and pdf.read_images(files, 300).count() == 0
+    found = {r.path[-5:]: r for r in pdf.read_metadata(files).collect()}
+    assert (found["a.pdf"].title, found["a.pdf"].author, found["a.pdf"].pages) == ("A title", "Ann", 1)
+    assert {r.path[-5:]: r.valid for r in pdf.checked(files).collect()} == {"a.pdf": True, "b.pdf": False} and pdf.read_pages(files).count() == 1
+
+
+def test_sinks(spark, tmp_path):
+    from quire.sources import sinks
+
+    articles = spark.createDataFrame([(1, 2, "a & b"), (1, 1, 'say "x", y')], "doc_id long, article_id long, title string")
+    sinks.truth_json(articles, f"{tmp_path}/j")
+    assert [a.article_id for a in spark.read.json(f"{tmp_path}/j").first().articles] == [1, 2]
+    sinks.truth_xml(articles, f"{tmp_path}/x")
+    assert {r.title for r in spark.read.format("xml").option("rowTag", "article").load(f"{tmp_path}/x").collect()} == {"a & b", 'say "x", y'}
+    sinks.layout_csv(articles, f"{tmp_path}/c")
+    assert spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/c").count() == 2
+    xml = spark.createDataFrame([(1, '<r b="2" a="1"> <x/> </r>'), (2, "<r"), (3, None)], "id long, xml string")
+    out = {r.id: r.xml for r in sinks.formatted(xml, "canonical").collect()}
+    assert out == {1: '<r a="1" b="2"> <x></x> </r>', 2: None, 3: None} and sinks.formatted(xml, "compact").first().xml == '<r b="2" a="1"><x /></r>'
+    (tmp_path / "config.json").write_text('{"a": {"b": 1, "c": [1, 2]}, "d": "x"}')
+    assert {(r.key, r.value) for r in sinks.config(spark, f"{tmp_path}/config.json").collect()} == {("a.b", "1"), ("a.c", "[1, 2]"), ("d", '"x"')}
+    pages = spark.createDataFrame([(1, '<doc><page><block _="" id="b1" type="body" bbox="0,0,1,1"><text>two words</text></block></page></doc>')], "doc_id long, xml string")
+    assert [(r.token, r.label) for r in sinks.training_examples(pages).collect()] == [("two", "body"), ("words", "body")]
+
+
+def test_resolution(spark):
+    from quire.operators import resolution as Z
+
+    rows = [(1, "i", "c", 0.5, 0.9, 0.6), (1, "j", "c", 0.4, 0.8, 0.7), (2, "k", "d", 0.9, 0.1, 0.1)]
+    out = {(r.image_id, r.caption_id, r.strategy) for r in Z.resolve(spark.createDataFrame(rows, "doc_id long, image_id string, caption_id string, confidence double, spatial double, semantic double")).collect()}
+    assert out == {("i", "c", "spatial"), ("k", "d", "confidence")}
+    groups = Z.conflict_groups(spark.createDataFrame([("i", "c"), ("j", "c"), ("j", "d"), ("k", "e")], "image_id string, caption_id string")).collect()
+    assert len({r.conflict for r in groups}) == 2
+    arts = spark.createDataFrame([(1, 1, "A", [1, 2]), (1, 2, "a ", [9]), (1, 3, "B", [1, 2]), (1, 4, "C", [5])], "doc_id long, article long, title string, nodes array<int>")
+    assert {r.article for r in Z.unique_articles(arts).collect()} == {1, 4}
+    boxes = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 10.0, 10.0), (1, 0, 1, 5.0, 5.0, 15.0, 15.0)], "doc_id long, page int, line_no int, x0 double, y0 double, x1 double, y1 double")
+    assert Z.element_overlaps(boxes).count() == 1 and Z.element_overlaps(Z.spread(boxes)).count() == 0
