@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm._core import broadcast_if_small, mixed, runs, utf8, windows, word_hashes_of_rows, written
+from quire.llm._core import broadcast_if_small, mixed, parts, runs, utf8, windows, word_hashes_of_rows, written
 
 SHINGLE = 5
 #: Linked if PART * intersection >= SHARE * union.
@@ -144,12 +144,13 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = utf8(batch.column(1))
-        sets = [x for i, j in runs(at) for x in shingles_of(data, at[i : j + 1])]
-        fine = [row.tobytes() for x in sets for row in set_sketches([x], REGISTERS, FINE, ESTIMATING)]
-        bands = [(mixed(row.view("<u8")) >> np.uint64(32)).astype("<u4").tobytes() for x in sets for row in set_sketches([x], 0, REGISTERS, BANDED)]
-        shingles = pa.array([x.astype("<u8").tobytes() for x in sets], pa.large_binary()).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bands, pa.binary()), pa.array(fine, pa.binary()), shingles], names=["rep", "n", "bands", "fine", "shingles"])
+        for part in parts(batch, 1):
+            data, at = utf8(part.column(1))
+            sets = [x for i, j in runs(at) for x in shingles_of(data, at[i : j + 1])]
+            fine = [row.tobytes() for x in sets for row in set_sketches([x], REGISTERS, FINE, ESTIMATING)]
+            bands = [(mixed(row.view("<u8")) >> np.uint64(32)).astype("<u4").tobytes() for x in sets for row in set_sketches([x], 0, REGISTERS, BANDED)]
+            columns = [part.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (bands, fine, [x.astype("<u8").tobytes() for x in sets]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "bands", "fine", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
