@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, html_extract, language, licenses, near_dedup, perplexity, privacy, quality, sharding
+from quire.llm import bpe, decontaminate, html_extract, language, licenses, near_dedup, oracles, perplexity, privacy, quality, sharding
 from quire.llm._core import table
 
 
@@ -72,4 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_near_dedup": oracles.near_duplicates(),
+    "op9_license_scan": oracles.license_scan(),
+}
