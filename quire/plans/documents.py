@@ -207,4 +207,34 @@ ORACLE_SQL = {
     ),
     "quarantine": oracle("jobs steps", "SELECT job_id FROM jobs WHERE size / 100000 < 0.2::DOUBLE UNION SELECT job_id FROM steps WHERE stage IN ('layout_analysis', 'article_reconstruction') AND status = 'failed'", "job_id"),
     "title_accuracy": "SELECT c_custkey AS id, regexp_replace(lower(c_name), '[^a-z0-9_ ''-]', '', 'g') AS truth_title, c_custkey % 3 <> 0 AS correct FROM customer",
+    "block_simple_class": oracle(
+        "blocks",
+        "SELECT doc_id, line_no, CASE WHEN regexp_matches(lower(trim(text)), '^(?:page\\s*)?\\d+$') THEN 'page_number' WHEN n_words <= 10 AND font_size > 14 THEN 'title' WHEN lower(trim(text)) LIKE 'by %' OR contains(lower(text), 'correspondent') THEN 'byline' WHEN font_size < 10 THEN 'caption' ELSE 'body' END AS type, "
+        "CASE WHEN font_size >= 18 THEN 'title' WHEN font_size >= 14 OR is_bold THEN 'heading' WHEN font_size < 9 THEN 'footnote' ELSE 'paragraph' END AS text_type FROM blocks",
+        "doc_id line_no type text_type",
+    ),
+    "contributor_accuracy": oracle(
+        "",
+        "SELECT t.s_nationkey AS id, count(f.role) AS correct, count(*) AS total, count(f.role) / count(*) AS accuracy FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 'editor' ELSE 'writer' END AS role FROM supplier) t LEFT JOIN (SELECT *, CASE WHEN s_suppkey % 4 = 0 THEN 'editor' ELSE 'writer' END AS role FROM supplier) f ON t.s_nationkey = f.s_nationkey AND t.s_name = f.s_name AND t.role = f.role GROUP BY 1",
+        "id correct total ~accuracy",
+    ),
+    "name_parse": oracle(
+        "",
+        "SELECT s_suppkey, 'Ana' AS given, 'Maria ' || regexp_extract(s_name, '^([^#]*)#', 1) AS middle, regexp_extract(s_name, '#(.*)$', 1) AS family, 'Dr' AS prefix, 'Jr' AS suffix, 0.95::DOUBLE AS confidence FROM supplier",
+        "s_suppkey given middle family prefix suffix ~confidence",
+    ),
+    "ocr_confusions": (
+        "WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), k AS (SELECT item_id, i, w[CAST(i AS INTEGER) + 1] AS x FROM (SELECT item_id, w, unnest(range(0, len(w))) AS i FROM w)), "
+        "h AS (SELECT item_id, string_agg(CASE WHEN i % 5 = 4 THEN x || 'x' ELSE x END, ' ' ORDER BY i) AS t FROM k WHERE i % 7 <> 6 AND x <> '' GROUP BY item_id), "
+        "z AS (SELECT list_zip(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda v: v <> ''), list_filter(regexp_split_to_array(h.t, '\\s+'), lambda v: v <> '')) AS z FROM benchmark b JOIN h USING (item_id)), "
+        "p AS (SELECT u[1] AS r, u[2] AS h FROM (SELECT unnest(z) AS u FROM z)), c AS (SELECT r, h, unnest(range(1, least(length(r), length(h)) + 1)) AS i FROM p WHERE r IS NOT NULL AND h IS NOT NULL AND r <> h) "
+        "SELECT substr(r, i, 1) AS expected, substr(h, i, 1) AS read, count(*) AS n FROM c WHERE substr(r, i, 1) <> substr(h, i, 1) GROUP BY 1, 2"
+    ),
+    "article_scores": oracle(
+        "nodes",
+        "SELECT doc_id, article, count(*) AS components, CAST(sum(n_words) AS BIGINT) AS words, least(1, 0.8::DOUBLE * avg(confidence) + 0.2::DOUBLE * least(1, count(*) / 10)) AS confidence, least(1, CASE WHEN bool_or(type = 'title') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN count(*) FILTER (WHERE type = 'body') > 0 THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN count(*) FILTER (WHERE type = 'body') > 1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN sum(n_words) >= 50 THEN 0.1::DOUBLE ELSE 0 END) AS completeness, "
+        "bool_or(type = 'title') AS titled, bool_or(type = 'advertisement') AS ad, least(1, 0.8::DOUBLE * avg(confidence) + 0.2::DOUBLE * least(1, count(*) / 10)) >= 0.4::DOUBLE AND sum(n_words) >= 50 AND bool_or(type = 'title') AS accepted "
+        "FROM (SELECT n.*, w.n_words, CAST(dense_rank() OVER (PARTITION BY n.doc_id ORDER BY n.page) - 1 AS INTEGER) AS article FROM nodes n JOIN (SELECT conv_id AS doc_id, turn AS node, CAST(len(list_filter(regexp_split_to_array(min(text), '\\s+'), lambda v: v <> '')) AS INTEGER) AS n_words FROM conversations GROUP BY 1, 2) w ON n.doc_id = w.doc_id AND n.node = w.node WHERE n.type <> 'header') GROUP BY doc_id, article",
+        "doc_id article components words ~confidence ~completeness titled ad accepted",
+    ),
 }

@@ -152,4 +152,9 @@ ORACLE_SQL = {
         "SELECT event_type, (b + (0.95::DOUBLE * total - (upto - n)) / n) * 50 AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY b) AS rn FROM (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY b) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM (SELECT event_type, floor(value / 50) AS b, count(*) AS n FROM events GROUP BY 1, 2)) WHERE upto >= 0.95::DOUBLE * total) WHERE rn = 1",
         "event_type ~value",
     ),
+    "document_types": oracle(
+        "results",
+        "SELECT doc_id, CASE WHEN score >= 0.7::DOUBLE THEN 'born_digital' WHEN score <= 0.3::DOUBLE THEN 'scanned' WHEN score BETWEEN 0.4::DOUBLE AND 0.6::DOUBLE THEN 'hybrid' ELSE 'unknown' END AS type FROM (SELECT l_orderkey AS doc_id, 0.3::DOUBLE * round(10 * avg(l_discount), 4) + 0.25::DOUBLE * round(12 * avg(l_tax), 4) + 0.2::DOUBLE * (1 - round(avg(l_quantity / 50), 4)) + 0.125::DOUBLE AS score FROM lineitem GROUP BY l_orderkey)",
+        "doc_id type",
+    ),
 }

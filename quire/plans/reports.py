@@ -111,4 +111,35 @@ ORACLE_SQL = {
         f"SELECT doc_id, src, dst, final AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, src ORDER BY final DESC, dst) AS best FROM (SELECT *, score + CASE WHEN max(score) FILTER (WHERE rn = 1) OVER w - coalesce(max(score) FILTER (WHERE rn = 2) OVER w, -1) < 0.1::DOUBLE THEN {_PAGE_GAP} ELSE 0 END AS final FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, src ORDER BY score DESC, dst) AS rn FROM connections) WHERE rn <= 3 WINDOW w AS (PARTITION BY doc_id, src))) WHERE best = 1",
         "doc_id src dst ~score",
     ),
+    "element_overlaps": oracle(
+        "blocks",
+        "SELECT doc_id, page, src, dst, ox * oy / greatest(area_a + area_b - ox * oy, 1e-6::DOUBLE) AS iou FROM (SELECT a.doc_id, a.page, a.line_no AS src, b.line_no AS dst, least(a.x1, b.x1) + 60 - greatest(a.x0, b.x0) AS ox, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS oy, (a.x1 + 60 - a.x0) * (a.y1 - a.y0) AS area_a, (b.x1 + 60 - b.x0) * (b.y1 - b.y0) AS area_b FROM blocks a JOIN blocks b ON a.doc_id = b.doc_id AND a.page = b.page AND a.line_no < b.line_no) WHERE ox > 0 AND oy > 0",
+        "doc_id page src dst ~iou",
+    ),
+    "pair_quality": oracle(
+        "blocks images candidates",
+        "SELECT image_id, CAST(line_no AS VARCHAR) AS caption_id, 0.4::DOUBLE * proximity + 0.4::DOUBLE * ((0.4::DOUBLE * proximity + 0.25::DOUBLE * 0.3::DOUBLE + 0.2::DOUBLE * layout + 0.15::DOUBLE * CASE WHEN competitors = 0 THEN 1.0::DOUBLE WHEN competitors <= 2 THEN 0.8::DOUBLE WHEN competitors <= 5 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) * (1 - 0.3::DOUBLE * least(1, competitors / 10))) + 0.2::DOUBLE * 0.4::DOUBLE AS quality FROM candidates WHERE rank <= 3",
+        "image_id caption_id ~quality",
+    ),
+    "hard_coded_values": "SELECT event_id AS path, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
+    "invalid_parameters": oracle(
+        "results",
+        "SELECT key, errors FROM (SELECT key, concat_ws(';', CASE WHEN value IS NULL THEN 'missing' END, CASE WHEN kind IN ('threshold', 'number') AND n IS NULL THEN 'not a number' END, CASE WHEN kind = 'threshold' AND NOT n BETWEEN 0 AND 1 THEN 'outside 0 to 1' END, CASE WHEN kind = 'prompt' AND length(value) < 10 THEN 'prompt too short' END, CASE WHEN kind = 'rule' THEN 'rule without condition' END) AS errors "
+        "FROM (SELECT *, try_cast(value AS DOUBLE) AS n FROM (SELECT p_partkey AS key, ['threshold', 'number', 'prompt', 'rule'][CAST(p_partkey % 4 AS INTEGER) + 1] AS kind, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS value FROM part))) WHERE errors <> ''",
+        "key errors",
+    ),
+    "confidence_levels": oracle(
+        "blocks sure",
+        "SELECT level, CAST(sum(n) AS BIGINT) AS elements, sum(n * c) / sum(n) AS average, min(c) AS least, max(c) AS most, sqrt(greatest(0, sum(n * c * c) / sum(n) - pow(sum(n * c) / sum(n), 2))) AS spread, CAST(sum(CASE WHEN c >= 0.8::DOUBLE THEN n ELSE 0 END) AS BIGINT) AS reliable, CAST(sum(CASE WHEN c < 0.5 THEN n ELSE 0 END) AS BIGINT) AS uncertain FROM ("
+        "SELECT 'block' AS level, 1 AS n, confidence AS c FROM sure UNION ALL SELECT 'line', 1, confidence FROM sure UNION ALL SELECT 'word', n_words, confidence FROM sure UNION ALL SELECT 'character', length(text), confidence FROM sure) WHERE n > 0 GROUP BY level",
+        "level elements ~average ~least ~most ~spread reliable uncertain",
+    ),
+    "name_statistics": oracle("results", "SELECT count(*) AS names, count(*) AS complete, 0::BIGINT AS suffixed, count(*) AS prefixed, 0.95::DOUBLE AS confidence FROM customer", "names complete suffixed prefixed ~confidence"),
+    "conflict_groups": (
+        oracle("blocks images candidates", "SELECT doc_id, image_id, line_no FROM candidates WHERE rank <= 3", "doc_id image_id line_no").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+            " SELECT doc_id, image_id, line_no FROM result",
+            ", hop AS (SELECT DISTINCT a.image_id AS x, b.image_id AS y FROM result a JOIN result b ON a.doc_id = b.doc_id AND a.line_no = b.line_no), reach(x, y) AS (SELECT x, y FROM hop UNION SELECT r.x, h.y FROM reach r JOIN hop h ON h.x = r.y), conflict AS (SELECT x AS image_id, min(y) AS c FROM reach GROUP BY x) "
+            "SELECT matches, count(*) AS conflicts FROM (SELECT c, count(*) AS matches FROM result JOIN conflict USING (image_id) GROUP BY c) GROUP BY matches",
+        )
+    ),
 }
