@@ -51,3 +51,8 @@ def pdf_date(text: Column) -> Column:
 
 def ocr_quality(wer: Column, cer: Column) -> Column:
     return F.when((wer <= 0.001) & (cer <= 0.001), "excellent").when(wer <= 0.02, "good").when(wer <= 0.05, "acceptable").when(wer <= 0.1, "poor").otherwise("failed")
+
+
+def xmp_date(text: Column) -> Column:
+    """A timestamp from ISO text with an optional zone, which is not kept."""
+    return F.try_to_timestamp(F.replace(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", 1), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))

@@ -127,3 +127,14 @@ def quality_label(people: DataFrame) -> DataFrame:
     """high, medium or low per id, by mean confidence and the share of sure contributors."""
     mean, share = F.avg("confidence"), F.avg(F.when(F.col("confidence") >= 0.9, 1.0).otherwise(0.0))
     return people.groupBy("id").agg(mean.alias("mean"), share.alias("share"), F.when((mean >= 0.9) & (share >= 0.8), "high").when((mean >= 0.7) & (share >= 0.6), "medium").otherwise("low").alias("quality"))
+
+
+def split_authors(byline: Column) -> Column:
+    """The names of a byline with several authors, parted by commas, ampersands or "and"."""
+    names = F.split(F.regexp_replace(F.trim(byline), r"(?i)^by\s+", ""), r"\s*(?:,|&|\band\b)\s*")
+    return F.filter(names, lambda n: n.rlike(r"^[A-Z][a-zA-Z'.-]+(?: [A-Z][a-zA-Z'.-]+)+$"))
+
+
+def accepted(people: DataFrame, extraction: float = 0.8, role: float = 0.7, name: float = 0.8) -> DataFrame:
+    """people(id, name, confidence, role_confidence, name_confidence) that reach all three thresholds."""
+    return people.filter((F.col("confidence") >= extraction) & (F.col("role_confidence") >= role) & (F.col("name_confidence") >= name))

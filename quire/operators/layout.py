@@ -195,3 +195,24 @@ def merge_nearby(blocks: DataFrame, distance: float = 20.0) -> DataFrame:
     return rows.groupBy(*PAGE).applyInPandas(merge, "doc_id long, page int, line_no int, x0 double, y0 double, x1 double, y1 double, merged int, text string")
 
 
+
+
+def readable(blocks: DataFrame, least: float = 0.5, length: int = 3) -> DataFrame:
+    """Blocks sure and long enough that hold a letter or digit."""
+    return blocks.filter((F.col("confidence") >= least) & (F.length(F.trim("text")) >= length) & F.col("text").rlike(r"[\p{L}\p{N}]"))
+
+
+def fallback_class() -> Column:
+    """(type, confidence) where a model is unsure: number, short large line, byline, small print, long text."""
+    low, n = F.lower(F.trim("text")), F.col("n_words")
+    pick = lambda kind, sure: F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))
+    return (
+        F.when(low.rlike(r"^(?:page\s*)?\d+$"), pick("page_number", 0.8)).when((n <= 10) & (F.col("font_size") > 14), pick("title", 0.7)).when(low.startswith("by ") | low.contains("correspondent"), pick("byline", 0.7))
+        .when(F.col("font_size") < 10, pick("caption", 0.6)).when(n >= 10, pick("body", 0.5)).otherwise(pick("unknown", 0.0))
+    )
+
+
+def numbered_images(images: DataFrame) -> DataFrame:
+    """Sequence numbers of a document's images by page, from the top and the left, as file names."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "image_id"))
+    return images.select("doc_id", "image_id", n.alias("sequence"), F.format_string("image_%03d.jpg", n).alias("filename"))

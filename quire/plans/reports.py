@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import calibration as K
+from quire.operators import contributors as C
 from quire.operators import layout as L
 from quire.operators import reports as R
 from quire.operators import resolution as Z
 from quire.operators import synthesis as Y
 from quire.plans.documents import _candidates, _nodes
 from quire.plans.shape import oracle, shaped
+from quire.sources import markup as X
 from quire.sources import standins as S
 
 
@@ -79,6 +82,12 @@ QUERIES = {
     "unique_articles": lambda s, d: Z.unique_articles(_articles(s, d)),
     "pair_quality": lambda s, d: shaped(_matches(s, d).select("image_id", "caption_id", Z.pair_quality(F.col("spatial"), F.col("confidence"), F.lit(2)).alias("quality"))),
     "text_similarity": lambda s, d: shaped((lambda n: n.alias("a").join(n.alias("b"), F.expr("a.doc_id = b.doc_id AND b.node = a.node + 1")).select("a.doc_id", "a.node", Z.semantic_similarity(F.col("a.type"), F.col("a.text"), F.col("b.type"), F.col("b.text")).alias("similarity")))(_nodes(s, d))),
+    "readable_blocks": lambda s, d: L.readable(_sure(s, d)).select("doc_id", "line_no"),
+    "fallback_classes": lambda s, d: shaped(S.blocks(s, d).select("doc_id", "line_no", L.fallback_class().alias("c")).select("doc_id", "line_no", "c.*")),
+    "numbered_images": lambda s, d: L.numbered_images(S.images(S.blocks(s, d))),
+    "split_authors": lambda s, d: S.table(s, d, "nation").select("n_nationkey", F.explode(C.split_authors(F.concat(F.lit("By Ann Lee, Tom Fox and Jo "), F.initcap(F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "")))))).alias("author")),
+    "xmp_dates": lambda s, d: S.table(s, d, "orders").select("o_orderkey", F.date_format(K.xmp_date(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T07:08:09+02:00"))), "yyyy-MM-dd HH:mm:ss").alias("modified")),
+    "body_markup": lambda s, d: S.blocks(s, d).groupBy("doc_id").agg(X.body_xml(F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("is_bold"), "heading").otherwise("other").alias("type"), "text")))).alias("xml")),
     "synthetic_suite": lambda s, d: shaped(Y.varied(Y.layout(Y.articles(Y.documents(s, ["north", "south", "east"], 40)))).groupBy("type").agg(F.count("*").alias("blocks"), F.avg("font_size").alias("font_size"))),
 }
 
@@ -142,4 +151,21 @@ ORACLE_SQL = {
             "SELECT matches, count(*) AS conflicts FROM (SELECT c, count(*) AS matches FROM result JOIN conflict USING (image_id) GROUP BY c) GROUP BY matches",
         )
     ),
+    "readable_blocks": oracle("blocks sure", "SELECT doc_id, line_no FROM sure WHERE confidence >= 0.5 AND length(trim(text)) >= 3 AND regexp_matches(text, '[\\p{L}\\p{N}]')", "doc_id line_no"),
+    "fallback_classes": oracle(
+        "blocks",
+        "SELECT doc_id, line_no, CASE WHEN regexp_matches(lower(trim(text)), '^(?:page\\s*)?\\d+$') THEN 'page_number' WHEN n_words <= 10 AND font_size > 14 THEN 'title' WHEN lower(trim(text)) LIKE 'by %' OR contains(lower(text), 'correspondent') THEN 'byline' WHEN font_size < 10 THEN 'caption' WHEN n_words >= 10 THEN 'body' ELSE 'unknown' END AS type, "
+        "CASE type WHEN 'page_number' THEN 0.8::DOUBLE WHEN 'title' THEN 0.7::DOUBLE WHEN 'byline' THEN 0.7::DOUBLE WHEN 'caption' THEN 0.6::DOUBLE WHEN 'body' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM blocks",
+        "doc_id line_no type ~confidence",
+    ),
+    "numbered_images": oracle("blocks images", "SELECT doc_id, image_id, CAST(row_number() OVER w AS INTEGER) AS sequence, 'image_' || lpad(CAST(row_number() OVER w AS VARCHAR), 3, '0') || '.jpg' AS filename FROM images WINDOW w AS (PARTITION BY doc_id ORDER BY page, y0, x0, image_id)", "doc_id image_id sequence filename"),
+    "xmp_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 07:08:09' AS modified FROM orders",
+    "split_authors": (
+        "SELECT n_nationkey, unnest(['Ann Lee', 'Tom Fox'] || CASE WHEN length(letters) < 2 THEN [] ELSE ['Jo ' || upper(substr(letters, 1, 1)) || lower(substr(letters, 2))] END) AS author FROM (SELECT n_nationkey, regexp_replace(n_name, '[^A-Za-z]', '', 'g') AS letters FROM nation)"
+    ),
+    "body_markup": oracle(
+        "blocks",
+        "SELECT doc_id, '<body>' || string_agg('<' || tag || '>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') || '</' || tag || '>', '' ORDER BY line_no) || '</body>' AS xml FROM (SELECT *, CASE WHEN is_bold THEN 'heading' ELSE 'paragraph' END AS tag FROM blocks) GROUP BY doc_id",
+        "doc_id xml",
+    ),
 }

@@ -73,3 +73,16 @@ def strict(docs: DataFrame, schema: str, column: str = "xml") -> tuple[DataFrame
     parsed = docs.withColumn("parsed", F.from_xml(column, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("parsed").isNull() | F.col("parsed._corrupt").isNotNull()
     return parsed.filter(~bad), parsed.filter(bad).drop("parsed")
+
+
+def media_xml(images: Column) -> Column:
+    """A media element of (id, bbox, caption, confidence, pairing) structs; the confidence falls back to that of the pairing."""
+    one = lambda i: F.concat(F.lit('<image id="'), escaped(i["id"]), F.lit('" bbox="'), F.array_join(F.transform(i["bbox"], lambda v: v.cast("string")), ","), F.lit('" confidence="'), F.format_string("%.2f", F.coalesce(i["confidence"], i["pairing"], F.lit(0.0))), F.lit('"><caption>'), escaped(F.coalesce(i["caption"], F.lit(""))), F.lit("</caption></image>"))
+    return F.concat(F.lit("<media>"), F.array_join(F.transform(images, one), ""), F.lit("</media>"))
+
+
+def body_xml(blocks: Column) -> Column:
+    """A body element of (type, text) structs; types that have no element of their own become paragraphs."""
+    known = ["paragraph", "heading", "quote", "list"]
+    tag = lambda b: F.when(b["type"].isin(known), b["type"]).otherwise("paragraph")
+    return F.concat(F.lit("<body>"), F.array_join(F.transform(blocks, lambda b: F.concat(F.lit("<"), tag(b), F.lit(">"), escaped(b["text"]), F.lit("</"), tag(b), F.lit(">"))), ""), F.lit("</body>"))
