@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at.
 CHUNK = 1 << 19
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: Largest side that is broadcast; anything larger is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -32,7 +34,15 @@ _LOWER[0x41:0x5B] += np.uint64(32)
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and Spark's Arrow buffers hold of a batch, unless the session says how much it may be."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows as Parquet in the shared folder, read again."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

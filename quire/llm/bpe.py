@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm._core import runs, utf8
+from quire.llm._core import runs, small_batches, utf8
 
 #: Bytes in the transducer's buffer besides the lookahead, characters of text looked at together, and words remembered.
 BUFFER, WINDOW, REMEMBERED = 1 << 12, 1 << 16, 1 << 19
@@ -177,6 +177,7 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with token_ids (array of int) added after its columns, in the place of a column of that name."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("token_ids")
     where = docs.columns.index("text")
 
@@ -196,6 +197,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """tokens with the column decoded, the text of its token_ids; null for null."""
+    small_batches(tokens.sparkSession)
     tokens = tokens.drop("decoded")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +214,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded in one pass of bounded memory."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._core import PUNCTUATION, runs, utf8, windows, word_hashes, word_hashes_of_rows
+from quire.llm._core import PUNCTUATION, runs, small_batches, utf8, windows, word_hashes, word_hashes_of_rows
 
 #: Word edits allowed per word of an item, and most bytes of items in an index.
 RATE = 0.15
@@ -139,6 +139,7 @@ def _matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, in
 
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, edits and first_word: each document and item whose words stand in it within the item's budget."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows, out = docs.select("doc_id", F.col("text").cast("string")), None
     for index in blocks(benchmark, rate):
@@ -157,6 +158,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; one pass per block, no shuffle."""
+    small_batches(docs.sparkSession)
     where = docs.columns.index("text")
     for index in blocks(benchmark, rate):
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._core import mixed, parts
+from quire.llm._core import mixed, parts, small_batches
 
 ORDERS = (2, 3, 4)
 #: Bits of an n-gram's number, of a filter's length, and hash places of an n-gram.
@@ -140,6 +140,7 @@ class Filters:
 
 def learn(docs: DataFrame) -> Filters:
     """Filters from docs(text, lang); rows with a null or empty text or a null lang teach nothing."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and length(text) > 0")
     held = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Filters.of(held.lang.to_numpy(), held.gram.to_numpy(np.int64), held.n.to_numpy())

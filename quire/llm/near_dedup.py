@@ -23,14 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quire.llm._core import broadcast_if_small, mixed, parts, runs, utf8, windows, word_hashes_of_rows, written
+from quire.llm._core import broadcast_if_small, mixed, parts, runs, small_batches, utf8, windows, word_hashes_of_rows, written
 
 SHINGLE = 5
 #: Linked if PART * intersection >= SHARE * union.
@@ -121,25 +119,24 @@ def likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
     return np.take_along_axis(grid, score.argmax(1)[:, None], 1)[:, 0]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "u1").reshape(len(column), FINE)
-
-
-@F.pandas_udf(T.DoubleType())
-def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="float64")
-    return pd.Series(likelihood(_matrix(a), _matrix(b), n_a.to_numpy(float), n_b.to_numpy(float)))
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, fine_a, fine_b, n_a, n_b) that are likely links."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "u1").reshape(-1, FINE) for k in (2, 3))
+            est = likelihood(x, y, *(batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (4, 5)))
+            yield batch.select([0, 1]).filter(pa.array(est >= LIKELY))
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(PART * both >= SHARE * (len(x) + len(y) - both))
-    return pd.Series(out, dtype="boolean")
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, shingles_a, shingles_b) with whether their sets are linked."""
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(PART * both >= SHARE * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +191,12 @@ def classes(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
         held = sets.select("rep", "shingles")
         one = side(held, "b").join(few, F.col("b") == F.col("rep_b")).select("a", "b", "shingles_b")
         two = one.join(side(held.join(ids, "rep"), "a"), F.col("a") == F.col("rep_a"))
-        return two.select("a", "b", _linked("shingles_a", "shingles_b").alias("linked"))
+        return two.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verified, "a long, b long, linked boolean")
 
     first = bucketed.filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     first = broadcast_if_small(written(first), 16).join(side(own.drop("bands"), "a"), F.col("a") == F.col("rep_a")).join(side(own.drop("bands"), "b"), F.col("b") == F.col("rep_b"))
     first = first.filter(F.least("n_a", "n_b") * PART >= F.greatest("n_a", "n_b") * SHARE)
-    first = first.withColumn("similarity", _estimate("fine_a", "fine_b", "n_a", "n_b")).filter(F.col("similarity") >= LIKELY).select("a", "b")
+    first = first.select("a", "b", "fine_a", "fine_b", "n_a", "n_b").mapInArrow(_estimated, "a long, b long")
     tried = written(verified(written(first)))
     labels, tries = components(tried.filter("linked")), TRIES
     while True:
@@ -278,6 +275,7 @@ def _likely(known: tuple, band: int, tries: int, rep: int, comp: int, n: int, co
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); kept marks one document of each class."""
+    small_batches(docs.sparkSession)
     all_ = written(sketch(docs))
     reps = all_.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     reps = written(reps)
