@@ -2,7 +2,8 @@
 
 Trusted positives are labelled rows with quality 1; the unlabelled side is web text whose labels are not looked at. The class
 prior (share of good texts among the unlabelled) is estimated from the labelled rows of the learning fold. The risk is
-prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)); where the bracket turns negative the step ascends it instead.
+prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)); where the bracket turns negative the step ascends it instead. The prior
+also places the decision: the logit is shifted so that about 1 - prior of the unlabelled score below the threshold.
 
 Fitting uses bounded samples: at most SAMPLE positives and SAMPLE unlabelled texts, the ones with the smallest hash of their
 id (the parameter bounds the driver's memory). Scoring covers every text. Features look at characters, words and lines
@@ -21,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._core import runs, utf8, windows, word_hashes
+from quire.llm._core import runs, small_batches, utf8, windows, word_hashes
 
 #: Most positives, and most unlabelled texts, that the fit reads.
 SAMPLE = 12_000
-THRESHOLD = 0.3
+#: Scores from here on are good; share of the expected bad texts that the decision is placed for.
+THRESHOLD, CAUTION = 0.3, 0.97
+#: Least distance of the decision from the lowest positives, as a share of their distance from typical bad texts.
+MARGIN = 0.2
 _MARKS = np.frombuffer(b"#*$%&|<>!?.,;:\"'-_=/\\@+()[]{}^~`", np.uint8)
 _CLASSES = np.zeros(256, np.int64)
 for _k, _range in enumerate(((0x09, 0x0E), (0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100))):
@@ -61,18 +65,19 @@ def _matrix(texts: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A network with one hidden layer; its logit is shifted from the training mix to the estimated prior."""
+    """A network with one hidden layer, and a shift of its logit that puts the decision where the estimated prior does."""
 
     prior: float = 0.5
     mean: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES, np.float32))
     scale: np.ndarray = field(default_factory=lambda: np.ones(N_FEATURES, np.float32))
     weights: list[np.ndarray] = field(default_factory=list)
+    shift: float = 0.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         if not self.weights:
             return np.zeros(len(x))
         w, b, v, c = self.weights
-        return (np.maximum((x - self.mean) / self.scale @ w + b, 0) @ v + c)[:, 0]
+        return (np.maximum((x - self.mean) / self.scale @ w + b, 0) @ v + c)[:, 0] - self.shift
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
@@ -109,6 +114,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 weights[k] = weights[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
     model.weights = [w.astype(np.float32) for w in weights]
+    # the clamped risk leaves the scale loose: the share 1 - prior of the unlabelled falls below the threshold, with some
+    # room for the estimate's error, and next to none of the positives does
+    seen, lowest = model.logits(unlabelled), float(np.quantile(model.logits(positive), 0.001))
+    typical = float(np.quantile(seen, (1 - model.prior) / 2))  # of bad texts
+    cut = max(float(np.quantile(seen, CAUTION * (1 - model.prior))), (typical + lowest) / 2)
+    cut = min(cut, lowest - MARGIN * max(0.0, lowest - typical))
+    model.shift = float(cut - np.log(THRESHOLD / (1 - THRESHOLD)))
     return model
 
 
@@ -121,6 +133,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
     """Fits on the rows of docs(doc_id, text) whose fold is not the held one; labels(doc_id, quality)."""
+    small_batches(docs.sparkSession)
     fold = lambda c: F.crc32(F.col(c).cast("string")) % folds
     marks = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("good")).filter(F.col("good").isin(0, 1) & (fold("id") != held))
     marks = marks.groupBy("id").agg(F.max("good").alias("good"))
@@ -153,6 +166,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold, with all their columns; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     where = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
