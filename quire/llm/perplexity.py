@@ -3,7 +3,9 @@
 The model is a character model of order 4 over 32 classes of characters, counted by Spark over all texts of the corpus, each
 language on its own (a null lang is the language ""). Each partition counts into dense arrays and hands on what it found;
 the sums fold n-grams into at most SLOTS slots, so the model has a bound whatever the corpus' size. It is stored as sorted
-arrays of hashes of (language, n-gram) with probabilities and back-off weights, which are broadcast.
+arrays of hashes of (language, n-gram) with probabilities and back-off weights, which are broadcast. A text has a
+perplexity in its own language, which the lower end of the band looks at, and one with each section in the language that
+explains it best, which the upper end looks at.
 
 Bands: per language, the median of the log perplexity of the documents that pass the base rules, and their median absolute
 deviation; a document more than BELOW deviations under or ABOVE over the median is rejected (too predictable below, too odd above). Deviations
@@ -23,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._core import WHITE, parts, utf8, windows, word_hashes, written
+from quire.llm._core import WHITE, parts, small_batches, utf8, windows, word_hashes, written
 
 ORDER, BITS = 4, 5
 SIZE = 1 << (ORDER * BITS)
 SLOTS = 1 << 21
-#: Reach of a band below and above the median in robust standard deviations (above it is wider, as a clean text may quote
-#: another language); added deviation for texts of few characters; least documents.
-BELOW, ABOVE, SCATTER, LEAST = 4.5, 15.0, 0.9, 20
+#: Reach of a band below and above the median in robust standard deviations (above it is wider, as what is odd there
+#: is far off); added deviation for texts of few characters; least documents.
+BELOW, ABOVE, SCATTER, LEAST = 4.0, 15.0, 0.9, 20
 #: Languages for which a worker keeps a table of all n-grams; others are looked up in the sorted arrays.
 TABLES = 8
+#: Characters of a section of a text, each of which counts in the language that explains it best: quotes of another language
+#: don't make a text odd.
+SECTION = 64
 
 _CODE = np.full(256, 29, np.uint32)
 _CODE[np.frombuffer(b".,;:'\"-!?()", np.uint8)] = 28
@@ -91,6 +96,8 @@ class Model:
     langs: dict[str, int] = field(default_factory=dict)
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: The languages with most text, which take part in every section.
+    common: list[int] = field(default_factory=list)
 
     def log_p(self, lang: int, packed: np.ndarray) -> np.ndarray:
         """Log probability of the last character of each n-gram after the ones before it."""
@@ -135,6 +142,8 @@ def kneser_ney(lang: np.ndarray, packed: np.ndarray, count: np.ndarray, langs: d
         above = levels[0][0]
         shorter = (above >> np.uint64(32) << np.uint64(32)) | (above & np.uint64((1 << (BITS * n)) - 1))
         levels.insert(0, _summed(shorter, np.ones(len(shorter))))
+    weight = np.bincount(lang, count.astype(float)) if len(lang) else np.zeros(0)
+    model.common = np.argsort(-weight, kind="stable")[: TABLES - 1].tolist()
     lower = None
     for n, (keys, counts) in enumerate(levels, 1):
         owner = (keys >> np.uint64(32)).astype(int)
@@ -168,6 +177,7 @@ def _shifted(context: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame) -> Model:
     """The model of docs(text, lang), from all its texts."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string")).filter("text is not null")
     slot = F.pmod(F.xxhash64("lang", "gram"), F.lit(SLOTS))
     counted = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy(slot.alias("slot")).agg(F.min(F.struct("lang", "gram")).alias("first"), F.sum("n").alias("n"))
@@ -190,6 +200,17 @@ def _log_p(model: Model, lang: int, packed: np.ndarray) -> np.ndarray:
     return _TABLES[key][packed]
 
 
+def log_perplexity(model: Model, lang: int, packed: np.ndarray) -> tuple[float, float]:
+    """Of a text's n-grams in its own language, and with each section in the language, own or common, that explains it best."""
+    starts = np.arange(0, len(packed), SECTION)
+    own = np.add.reduceat(_log_p(model, lang, packed), starts, dtype=np.float64)
+    best = own.copy()
+    for other in model.common:
+        if other != lang:
+            np.maximum(best, np.add.reduceat(_log_p(model, other, packed), starts, dtype=np.float64), out=best)
+    return -float(own.sum()) / len(packed), -float(best.sum()) / len(packed)
+
+
 def base(data: np.ndarray) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of one text's bytes."""
     words, _ = word_hashes(data, fold=False)
@@ -221,10 +242,10 @@ def base(data: np.ndarray) -> tuple[int, int, int, int, int]:
 
 
 def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, base columns, log_perplexity and n_grams of every row of docs(doc_id, text, lang)."""
+    """doc_id, lang, base columns, log perplexities and n_grams of every row of docs(doc_id, text, lang)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "n_grams"]
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "best_log_perplexity", "n_grams"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -235,12 +256,13 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                 rows.append(base(data[a:b]))
                 packed = grams(data[a:b])
                 known = held.langs.get(lang)
-                scores.append((-float(_log_p(held, known, packed).mean()) if known is not None and len(packed) else None, len(packed)))
+                fits = known is not None and len(packed) > 0
+                scores.append((*(log_perplexity(held, known, packed) if fits else (None, None)), len(packed)))
             columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([x[0] for x in scores], pa.float64()), pa.array([x[1] for x in scores], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *(pa.array([x[k] for x in scores], pa.float64()) for k in (0, 1)), pa.array([x[2] for x in scores], pa.int64())], names=names)
 
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
-    return rows.mapInArrow(of, f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in names[2:7]) + ", log_perplexity double, n_grams long")
+    return rows.mapInArrow(of, f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in names[2:7]) + ", log_perplexity double, best_log_perplexity double, n_grams long")
 
 
 def apply_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -248,12 +270,14 @@ def apply_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE) ->
     rows = written(measured(docs, train(docs)))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     fit = rows.filter(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-    middle = fit.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"), F.count("*").alias("docs"))
-    spread = fit.join(F.broadcast(middle), "lang").groupBy("lang").agg(F.first("middle").alias("middle"), F.first("docs").alias("docs"), (1.4826 * F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000)).alias("spread"))
+    kinds = {"own": "log_perplexity", "best": "best_log_perplexity"}
+    middle = fit.groupBy("lang").agg(*(F.percentile_approx(c, 0.5, 10000).alias(f"{k}_middle") for k, c in kinds.items()), F.count("*").alias("docs"))
+    away = {k: F.abs(F.col(c) - F.col(f"{k}_middle")) for k, c in kinds.items()}
+    spread = fit.join(F.broadcast(middle), "lang").groupBy("lang").agg(*(F.first(c).alias(c) for c in ("own_middle", "best_middle", "docs")), *((1.4826 * F.percentile_approx(x, 0.5, 10000)).alias(f"{k}_spread") for k, x in away.items()))
     out = rows.join(F.broadcast(spread), "lang", "left")
-    deviation = F.sqrt(F.pow("spread", F.lit(2)) + F.pow(F.lit(SCATTER), F.lit(2)) / F.greatest("n_grams", F.lit(1)))
-    out = out.withColumns({"lower": F.col("middle") - below * deviation, "upper": F.col("middle") + above * deviation})
-    inside = (F.col("docs") < LEAST) | F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
+    deviation = {k: F.sqrt(F.pow(F.col(f"{k}_spread"), F.lit(2)) + F.pow(F.lit(SCATTER), F.lit(2)) / F.greatest("n_grams", F.lit(1))) for k in kinds}
+    out = out.withColumns({"lower": F.col("own_middle") - below * deviation["own"], "upper": F.col("best_middle") + above * deviation["best"]})
+    inside = (F.col("docs") < LEAST) | ((F.col("log_perplexity") >= F.col("lower")) & (F.col("best_log_perplexity") <= F.col("upper")))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "best_log_perplexity", "lower", "upper"
     )
