@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontaminate, near_dedup, privacy, quality
-from quire.llm._core import table, written
+from quire.llm._core import broadcast_if_small, table, written
 from quire.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    kept = written(near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(broadcast_if_small(kept, 16), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
