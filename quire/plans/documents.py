@@ -43,6 +43,21 @@ S.SQL["pairs"] = (
     "scored AS (SELECT *, least(1, greatest(0, 0.8::DOUBLE * greatest(0, 1 - (h + v) / 100) * (0.7::DOUBLE + 0.3::DOUBLE * greatest(0, 1 - h / 10)))) AS stacked, least(1, greatest(0, 0.8::DOUBLE * greatest(0, 1 - (h + v) / 100) * (0.7::DOUBLE + 0.3::DOUBLE * greatest(0, 1 - v / 10)))) AS level FROM pairs), "
     "relations AS (SELECT doc_id, page, src, dst, 'above' AS relation, stacked AS confidence FROM scored WHERE h <= 50 AND above UNION ALL SELECT doc_id, page, src, dst, 'below', stacked FROM scored WHERE h <= 50 AND below AND NOT above UNION ALL SELECT doc_id, page, src, dst, 'left_of', level FROM scored WHERE v <= 50 AND lft UNION ALL SELECT doc_id, page, src, dst, 'right_of', level FROM scored WHERE v <= 50 AND rgt AND NOT lft)"
 )
+_T = "trim(text)"
+_N = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> ''))"
+_IS_NUMBER = f"regexp_matches({_T}, '^\\d+$') OR regexp_matches({_T}, '^page\\s+\\d+$', 'i') OR regexp_matches({_T}, '^\\d+\\s*/\\s*\\d+$') OR (regexp_matches({_T}, '^[ivxlcdm]+$', 'i') AND length({_T}) <= 6)"
+_IS_CONTENT = f"({_N} > 20 OR regexp_matches(lower({_T}), '\\b(article|story|report|analysis|interview)\\b|\\b(said|according to|reported|stated)\\b|\\b(however|therefore|furthermore|moreover)\\b'))"
+_IS_BYLINE = f"regexp_matches(lower({_T}), '^by\\s+[a-z]+(?:\\s+[a-z]+)*$') OR regexp_matches(lower({_T}), '\\b(?:reports?|correspondent|editor)\\b') OR regexp_matches(lower({_T}), '^author:\\s*[a-z]+') OR regexp_matches({_T}, '^[A-Z][a-z]+\\s+[A-Z][a-z]+,?\\s+(?:reports?|correspondent)')"
+_IS_CAPTION = f"font_size < 10 OR ({_N} <= 30 AND regexp_matches({_T}, '^(?:photo|image|figure|chart):|(?:photo|courtesy|credit):\\s*', 'i'))"
+_IS_QUOTE = f"({_T} LIKE '\"%' AND {_T} LIKE '%\"') OR (starts_with({_T}, chr(39)) AND ends_with({_T}, chr(39))) OR ({_N} <= 50 AND contains({_T}, '\"'))"
+_IS_AD = " OR ".join(f"contains(lower(text), '{w}')" for w in T.ADS)
+_GUESS = (
+    f"CASE WHEN {_IS_NUMBER} THEN 'page_number' WHEN y0 < 50 AND NOT {_IS_CONTENT} THEN 'header' WHEN y1 > 750 AND NOT {_IS_CONTENT} THEN 'footer' WHEN y0 < 240 AND font_size > 16 AND n_words <= 15 THEN 'title' WHEN {_IS_BYLINE} THEN 'byline' WHEN {_IS_CAPTION} THEN 'caption' WHEN {_IS_QUOTE} THEN 'quote' WHEN {_IS_AD} THEN 'advertisement' "
+    "WHEN font_size > 12 AND n_words <= 20 THEN 'heading' WHEN n_words >= 10 THEN 'body' ELSE 'unknown' END"
+)
+_GUESS_SURE = "CASE type WHEN 'page_number' THEN 0.8::DOUBLE WHEN 'header' THEN 0.7::DOUBLE WHEN 'footer' THEN 0.7::DOUBLE WHEN 'byline' THEN 0.7::DOUBLE WHEN 'advertisement' THEN 0.7::DOUBLE WHEN 'heading' THEN 0.5::DOUBLE WHEN 'body' THEN 0.4::DOUBLE WHEN 'unknown' THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END"
+_RULE_SURE = "CASE type WHEN 'title' THEN 0.9::DOUBLE WHEN 'page_number' THEN 0.9::DOUBLE WHEN 'caption' THEN 0.7::DOUBLE WHEN 'heading' THEN 0.7::DOUBLE WHEN 'body' THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END"
+S.SQL["guessed"] = f"guessed AS (SELECT *, {_GUESS_SURE} AS confidence FROM (SELECT *, {_GUESS} AS type FROM blocks))"
 _W, _H = "least(i.x1 - i.x0, b.x1 - b.x0)", "least(i.y1 - i.y0, b.y1 - b.y0)"
 _OX, _OY = "(least(i.x1, b.x1) - greatest(i.x0, b.x0))", "(least(i.y1, b.y1) - greatest(i.y0, b.y0))"
 _ICX, _ICY, _BCX, _BCY = "((i.x0 + i.x1) / 2)", "((i.y0 + i.y1) / 2)", "((b.x0 + b.x1) / 2)", "((b.y0 + b.y1) / 2)"
@@ -237,4 +252,21 @@ ORACLE_SQL = {
         "FROM (SELECT n.*, w.n_words, CAST(dense_rank() OVER (PARTITION BY n.doc_id ORDER BY n.page) - 1 AS INTEGER) AS article FROM nodes n JOIN (SELECT conv_id AS doc_id, turn AS node, CAST(len(list_filter(regexp_split_to_array(min(text), '\\s+'), lambda v: v <> '')) AS INTEGER) AS n_words FROM conversations GROUP BY 1, 2) w ON n.doc_id = w.doc_id AND n.node = w.node WHERE n.type <> 'header') GROUP BY doc_id, article",
         "doc_id article components words ~confidence ~completeness titled ad accepted",
     ),
+    "block_heuristics": oracle("blocks guessed", "SELECT * FROM guessed", "doc_id line_no type ~confidence"),
+    "block_class_counts": oracle(
+        "blocks ruled guessed",
+        f"SELECT coalesce(r.type, g.type) AS type, count(*) AS blocks, avg(coalesce(r.sure, g.confidence)) AS confidence FROM guessed g LEFT JOIN (SELECT doc_id, line_no, type, {_RULE_SURE} AS sure FROM ruled WHERE type IS NOT NULL) r ON r.doc_id = g.doc_id AND r.line_no = g.line_no GROUP BY 1",
+        "type blocks ~confidence",
+    ),
+    "article_traversal": oracle("nodes", "SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS INTEGER) AS article, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY node) - 1 AS INTEGER) AS place, node FROM nodes WHERE type <> 'header'", "doc_id article place node"),
+    "continuation_markers": (
+        "SELECT p_partkey, pattern, marker, type, target, confidence FROM (SELECT p_partkey, 0 AS pattern, 'continued on page ' || p_size AS marker, 'forward' AS type, p_size AS target, 1.0::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 1, 'see page 4', 'jump', 4, 1.0::DOUBLE FROM part UNION ALL SELECT p_partkey, 7, '(cont.)', 'forward', NULL, 0.5::DOUBLE FROM part)"
+    ),
+    "title_case_ratio": oracle(
+        "blocks",
+        "SELECT doc_id, line_no, CASE WHEN len(w) < 2 THEN 0 ELSE list_sum(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN CASE WHEN regexp_matches(substr(x, 1, 1), '\\p{Lu}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN regexp_replace(lower(x), '[^a-z]', '', 'g') IN ("
+        + ", ".join(f"'{w}'" for w in T.MINOR)
+        + ") THEN CASE WHEN regexp_matches(substr(x, 1, 1), '\\p{Lu}') THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END WHEN regexp_matches(substr(x, 1, 1), '\\p{Lu}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / len(w) END AS share FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda v: v <> '') AS w FROM blocks WHERE n_words BETWEEN 3 AND 20)",
+        "doc_id line_no ~share",
+    ),
 }
