@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._core import mixed, parts, small_batches
+from quire.llm._core import mixed, parts, small_batches, written
 
 ORDERS = (2, 3, 4)
 #: Bits of an n-gram's number, of a filter's length, and hash places of an n-gram.
@@ -94,20 +94,13 @@ class Filters:
     false_rate: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @staticmethod
-    def of(lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> Filters:
-        made = Filters(sorted(set(lang)))
-        if not made.langs:
-            return made
-        number = {x: k for k, x in enumerate(made.langs)}
-        share = np.zeros((len(made.langs), 1 << SPACE), np.float32)
-        share[np.array([number[x] for x in lang]), gram] = count
-        share /= np.maximum(share.sum(1, keepdims=True), 1)
-        owned = (share > 0) & (share >= SHARE * share.max(0))
-        made.slices = [np.zeros(1 << FILTER, np.uint64) for _ in range(-(-len(made.langs) // 64))]
+    def of(langs: list[str], owned: list[np.ndarray]) -> Filters:
+        """Filters of the languages, with the numbers of the n-grams that each owns."""
+        made = Filters(list(langs), [np.zeros(1 << FILTER, np.uint64) for _ in range(-(-len(langs) // 64))])
         rates = []
-        for k in range(len(made.langs)):
+        for k, numbers in enumerate(owned):
             bits, bit = made.slices[k // 64], np.uint64(1 << (k % 64))
-            for at in _places(np.flatnonzero(owned[k])):
+            for at in _places(numbers):
                 bits[at] |= bit
             rates.append(float(((bits & bit) != 0).mean()) ** K)
         made.false_rate = np.array(rates)
@@ -142,8 +135,17 @@ def learn(docs: DataFrame) -> Filters:
     """Filters from docs(text, lang); rows with a null or empty text or a null lang teach nothing."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and length(text) > 0")
-    held = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return Filters.of(held.lang.to_numpy(), held.gram.to_numpy(np.int64), held.n.to_numpy())
+    counted = written(rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language
+    shares = counted.join(F.broadcast(totals), "lang").select("gram", F.struct("lang", (F.col("n") / F.col("total")).alias("share")).alias("s"))
+    by_gram = shares.groupBy("gram").agg(F.collect_list("s").alias("s")).withColumn("top", F.array_max(F.transform("s", lambda x: x["share"])))
+    owners = by_gram.select("gram", F.transform(F.filter("s", lambda x: x["share"] >= SHARE * F.col("top")), lambda x: x["lang"]).alias("langs"))
+    langs = sorted(r.lang for r in totals.select("lang").collect())
+    number, owned = {x: k for k, x in enumerate(langs)}, [[] for _ in langs]
+    for row in owners.collect():  # at most 2 ** SPACE rows
+        for lang in row.langs:
+            owned[number[lang]].append(row.gram)
+    return Filters.of(langs, [np.array(sorted(x), np.int64) for x in owned])
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
