@@ -13,33 +13,32 @@ from quire.llm import bpe, decontaminate, near_dedup, privacy, quality
 from quire.llm._core import broadcast_if_small, table, written
 from quire.llm.queries import vocabulary
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; a text is scored where it stands, so nothing is shuffled."""
-    return quality.accepted(docs.select(*COLUMNS), quality.learn(docs, table(spark, sf_dir, "labels")))
+    return quality.accepted(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
+    """One document of each class stays; rows that share a doc_id count as one document."""
     kept = written(near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(broadcast_if_small(kept, 16), "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(broadcast_if_small(kept, 16), "doc_id", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to surrogates; n_chars follows the text."""
-    return privacy.pseudonymise(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    out = privacy.pseudonymise(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids and their number."""
-    return bpe.encode(docs.select(*COLUMNS), vocabulary()).select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
+    return bpe.encode(docs, vocabulary()).select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [
