@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,20 +85,39 @@ def classify_role(context: Column, least: float = 0.3) -> Column:
 
 
 def deduplicate_spans(spans: DataFrame) -> DataFrame:
-    """spans(id, start, stop, confidence, label): greedy from the left; of two that overlap the surer stays."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for x in pdf.sort_values(["start", "stop", "label"]).itertuples(index=False):
-            clash = next((y for y in kept if x.start < y.stop and x.stop > y.start), None)
-            if clash is None:
-                kept.append(x)
-            elif x.confidence > clash.confidence:
-                kept.remove(clash)
-                kept.append(x)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return spans.groupBy("id").applyInPandas(keep, spans.schema)
+    """spans(id, start, stop, confidence, label): greedy from the left; of two that overlap the surer stays. Ids pass by in order, so
+    a worker holds the spans kept of one id."""
+    names = spans.columns
+    id_, start, stop, sure = (names.index(c) for c in ("id", "start", "stop", "confidence"))
+
+    def overlap(x: tuple, y: tuple) -> bool:
+        return None not in (x[start], x[stop], y[start], y[stop]) and x[start] < y[stop] and x[stop] > y[start]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, kept = None, []
+        for batch in batches:
+            schema, done = batch.schema, []
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kept and kept[0][id_] != x[id_]:
+                    done += kept
+                    kept = []
+                clash = next((k for k, y in enumerate(kept) if overlap(x, y)), None)
+                if clash is None:
+                    kept.append(x)
+                elif x[sure] is not None and (kept[clash][sure] is None or x[sure] > kept[clash][sure]):
+                    del kept[clash]
+                    kept.append(x)
+            yield _batch(done, schema)
+        if kept:
+            yield _batch(kept, schema)
+
+    order = [F.col(c).asc_nulls_last() for c in ("id", "start", "stop", "label")]
+    return spans.repartition("id").sortWithinPartitions(*order).mapInArrow(keep, spans.schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def deduplicate_names(people: DataFrame, alike: float = 0.8) -> DataFrame:

@@ -24,7 +24,7 @@ def _credits(s, d):
 
 
 def _spans(s, d):
-    return S.table(s, d, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("start"), (F.col("l_partkey") % 50 + F.col("l_quantity").cast("int")).alias("stop"), F.round(1 - F.col("l_discount"), 2).alias("confidence"), F.col("l_linenumber").alias("label"))
+    return S.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("start"), (F.col("l_partkey") % 50 + F.col("l_quantity").cast("int")).alias("stop"), F.round(1 - F.col("l_discount"), 2).alias("confidence"), F.col("l_linenumber").alias("label"))
 
 
 def _block_ids(s, d):
