@@ -7,8 +7,12 @@ normal form alone, so an entity has the same surrogate wherever it stands (coref
 
 Digit formats and IPv4 addresses are permuted by a keyed Feistel network, so different ones stay different by construction.
 Surrogates of the other types are drawn from a keyed digest; a check over all distinct entities of the corpus makes sure that
-no two share a surrogate and none is an entity that occurs; if any does, all surrogates of these types become longer and the
-check is repeated. The check shuffles distinct entities only; texts are never shuffled.
+no two share a surrogate and none is an entity that occurs. If any e-mail or name does, surrogates of these types become longer;
+entities of any type that still collide are drawn again one by one (a salt per entity, kept in a map), and a salt beyond AGAIN adds
+letters, so that this ends. The check shuffles distinct entities only; texts are never shuffled.
+
+A name is the same with any form of address before it, and its family name too; a given name follows the gender of the form of
+address. Names in other scripts than Latin are drawn letter by letter in their own.
 
 Null and empty texts stay as they are, and all other columns are passed on.
 """
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from quire.llm._core import written
 
 KEY = "quire-surrogates-1"
+#: Salts that draw a secret again at its own length; each further one makes it a letter longer. Most letters that names and e-mails grow.
+AGAIN, WIDEST = 8, 8
 # Forms of address by gender, given names by gender, syllables of family names.
 _HE = ["Mr", "Herr", "Monsieur", "Señor", "Sir"]
 _SHE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Lady"]
@@ -63,26 +69,28 @@ def _list(values: list[str]) -> str:
 def _kind(e: str) -> str:
     return (
         f"CASE WHEN {e} LIKE '%@%' AND {e} RLIKE {_text(r'^[^@]+@[^@]+$')} THEN 'email' WHEN {e} RLIKE {_text(rf'^{_OCTET}(?:[.]{_OCTET}){{3}}$')} THEN 'ip' "
-        f"WHEN {e} RLIKE {_text(rf'^(?:{_TITLE})[.]? ')} THEN 'name' WHEN {e} RLIKE {_text('^[0-9 ()+.-]+$')} THEN 'digits' ELSE 'secret' END"
+        f"WHEN {e} RLIKE {_text(rf'^(?:{_TITLE})[.]? ')} THEN 'name' WHEN {e} RLIKE {_text('^[0-9 ()+.-]+$')} AND length(regexp_replace({e}, '[^0-9]', '')) BETWEEN 6 AND 36 THEN 'digits' ELSE 'secret' END"
     )
 
 
 def _normal(e: str) -> str:
     """Case and forms of address don't make different entities."""
-    return f"CASE WHEN {e} LIKE '%@%' THEN lower({e}) ELSE {e} END"
+    return f"CASE WHEN {e} LIKE '%@%' THEN lower({e}) WHEN {_kind(e)} = 'name' THEN regexp_replace({e}, {_text(rf'^(?:{_TITLE})[.]? ')}, '') ELSE {e} END"
+
+
+_CASED = [("Cyrillic", "абвгдежзиклмнопрстуфхцчшэюя"), ("Greek", "αβγδεζηθικλμνξοπρστυφχψω"), ("Armenian", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօ"), ("Latin", "àâäçèéêëîïñóôöùûü")]
+_UNCASED = [("Han", "天地山水火木金土日月人口手足目耳心力田石"), ("Hiragana", "あいうえおかきくけこさしすせそたちつてと"), ("Katakana", "アイウエオカキクケコサシスセソタチツテト"), ("Hangul", "가나다라마바사아자차카타파하고노도로모보"), ("Arabic", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"), ("Hebrew", "אבגדהוזחטיכלמנסעפצקרשת"), ("Devanagari", "कखगघचछजझटठडढतथदधनपफबभमयरलवसह"), ("Thai", "กขคงจฉชซดตถทธนบปผพฟมยรลวสห")]
 
 
-def _drawn(e: str, digest: str) -> str:
-    """Every letter and digit of e replaced by a keyed one of the same class, case and script."""
+def _drawn(e: str, digest: str, marks: str = "false") -> str:
+    """Every letter and digit of e replaced by a keyed one of the same class, case and script; where marks holds, all else too."""
     k = f"conv(substr({digest}, 1 + 2 * (i % 256), 2), 16, 10)"
     pick = lambda letters: f"substr('{letters}', 1 + cast({k} AS INT) % {len(letters)}, 1)"
-    cases = [
-        ("[0-9]", "0123456789"), ("[a-f]", "abcdef"), ("[A-F]", "ABCDEF"), ("[g-z]", "ghijklmnopqrstuvwxyz"), ("[G-Z]", "GHIJKLMNOPQRSTUVWXYZ"),
-        (r"[\p{IsCyrillic}&&\p{Ll}]", "абвгдежзиклмнопрстуфхцчшэюя"), (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
-        (r"[\p{IsGreek}&&\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
-        (r"[\p{IsLatin}&&\p{Ll}]", "àâäçèéêëîïñóôöùûü"), (r"[\p{IsLatin}&&\p{Lu}]", "ÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÛÜ"),
-    ]
-    return f"array_join(transform(split({e}, ''), (c, i) -> CASE {' '.join(f'WHEN c RLIKE {_text(x)} THEN {pick(y)}' for x, y in cases)} ELSE c END), '')"
+    cases = [("[0-9]", "0123456789"), ("[a-f]", "abcdef"), ("[A-F]", "ABCDEF"), ("[g-z]", "ghijklmnopqrstuvwxyz"), ("[G-Z]", "GHIJKLMNOPQRSTUVWXYZ")]
+    other = [x for script, low in _CASED for x in ((rf"[\p{{Is{script}}}&&\p{{Ll}}]", low), (rf"[\p{{Is{script}}}&&\p{{Lu}}]", low.upper()))]
+    other += [(rf"[\p{{Is{script}}}&&\p{{L}}]", letters) for script, letters in _UNCASED] + [(r"\p{Lu}", "ÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÛÜ"), (r"\p{L}", "àâäçèéêëîïñóôöùûü"), (r"\p{N}", "0123456789")]
+    when = lambda pairs: " ".join(f"WHEN c RLIKE {_text(x)} THEN {pick(y)}" for x, y in pairs)
+    return f"array_join(transform(split({e}, ''), (c, i) -> CASE {when(cases)} WHEN c < '\u007f' AND NOT {marks} THEN c {when(other)} WHEN {marks} THEN {pick('!#$%&*+-./:;=?^_~')} ELSE c END), '')"
 
 
 def _permuted(digits: str, key: str) -> str:
@@ -95,11 +103,18 @@ def _permuted(digits: str, key: str) -> str:
     return f"aggregate(array(1, 2, 3, 4, 5, 6), {start}, (s, r) -> {step}, s -> concat(CASE WHEN {half} > 0 THEN lpad(cast(s.a AS STRING), {half}, '0') ELSE '' END, lpad(cast(s.b AS STRING), {n} - {half}, '0')))"
 
 
-def _surrogate(e: str, key: str, width: int) -> str:
-    """SQL for the surrogate of the entity e; width more letters where it is drawn."""
+def _salted(normal: str, salt: str) -> str:
+    """What an entity's surrogate depends on besides the key: its normal form, and its salt if it is over 0."""
+    return f"concat({normal}, CASE WHEN {salt} > 0 THEN concat('|', {salt}) ELSE '' END)"
+
+
+def _digest(id_: str, key: str) -> str:
+    return "concat(" + ", ".join(f"sha2(concat({_text(key)}, '|{j}|', {id_}), 512)" for j in range(4)) + ")"
+
+
+def _surrogate(e: str, id_: str, digest: str, key: str, width: int, salt: str = "") -> str:
+    """SQL for the surrogate of the entity e of the given _salted() form and digest; width more letters in names and e-mails."""
     k = _text(key)
-    normal = _normal(e)
-    digest = "concat(" + ", ".join(f"sha2(concat({k}, '|{j}|', {normal}), 512)" for j in range(4)) + ")"
     code = f"regexp_extract({e}, {_text('^[+][0-9]{1,3}(?=[ .(-])')}, 0)"
     rest = f"substr({e}, length({code}) + 1)"
     digits = f"regexp_replace({rest}, '[^0-9]', '')"
@@ -107,7 +122,7 @@ def _surrogate(e: str, key: str, width: int) -> str:
     part = lambda j: f"cast(split({e}, '[.]')[{j}] AS BIGINT)"
     start = f"named_struct('a', {part(0)} * 256 + {part(1)}, 'b', {part(2)} * 256 + {part(3)})"
     address = f"aggregate(array(1, 2, 3, 4), {start}, (s, r) -> named_struct('a', s.b, 'b', pmod(s.a + pmod(xxhash64({k}, r, s.b), 65536L), 65536L)), s -> concat_ws('.', s.a div 256, s.a % 256, s.b div 256, s.b % 256))"
-    pair = lambda j: f"cast(conv(substr(sha2(concat({k}, '|x|', {normal}), 512), {j}, 2), 16, 10) AS INT)"
+    pair = lambda j: f"cast(conv(substr(sha2(concat({k}, '|x|', {id_}), 512), {j}, 2), 16, 10) AS INT)"
     domain = "concat(" + ", ".join(f"substr('abcdefghijklmnopqrstuvwxyz', 1 + {pair(1 + 2 * j)} % 26, 1)" for j in range(8 + width)) + f", '.example.', element_at(array('com', 'org', 'net'), 1 + {pair(61)} % 3))"
     email = f"concat({_drawn(f'split(lower({e}), {_text('@')})[0]', digest)}, '@', {domain})"
     email = f"CASE WHEN {e} = upper({e}) THEN upper({email}) ELSE {email} END"
@@ -115,10 +130,12 @@ def _surrogate(e: str, key: str, width: int) -> str:
     which = f"CASE WHEN {title} RLIKE {_text(rf'^(?:{"|".join(_HE)})[.]? $')} THEN {_list(_GIVEN['he'])} WHEN {title} RLIKE {_text(rf'^(?:{"|".join(_SHE)})[.]? $')} THEN {_list(_GIVEN['she'])} ELSE {_list(_GIVEN['any'])} END"
     family = "initcap(concat(" + ", ".join(f"element_at({_list(_SYLLABLES)}, 1 + {pair(65 + 2 * j)} % {len(_SYLLABLES)})" for j in range(4 + width)) + "))"
     given = f"CASE WHEN size(split({e}, ' ')) > 2 THEN concat(element_at({which}, 1 + {pair(63)} % 16), ' ') ELSE '' END"
-    return (
-        f"CASE {_kind(e)} WHEN 'email' THEN {email} WHEN 'ip' THEN {address} WHEN 'name' THEN concat({title}, {given}, {family}) "
-        f"WHEN 'digits' THEN {spread} ELSE {_drawn(e, digest)} END"
-    )
+    bare = f"substr({e}, length({title}) + 1)"
+    name = f"CASE WHEN {bare} RLIKE {_text('^[^ ]*[' + chr(92) + 'p{IsLatin}]')} THEN concat({given}, {family}) ELSE {_drawn(bare, digest)} END"
+    secret = _drawn(e, digest)
+    if salt:
+        secret = f"concat({_drawn(e, digest, f'{salt} > 0')}, substr({digest}, 257, greatest(0, {salt} - {AGAIN})))"
+    return f"CASE {_kind(e)} WHEN 'email' THEN {email} WHEN 'ip' THEN {address} WHEN 'name' THEN concat({title}, {name}) WHEN 'digits' THEN {spread} ELSE {secret} END"
 
 
 def entities(text: Column) -> Column:
@@ -131,26 +148,64 @@ def count_entities(text: str) -> Column:
     return F.expr(f"CASE WHEN {text} RLIKE {_text(_HINT)} THEN cast(regexp_count({text}, {_text(PATTERN)}) AS INT) ELSE 0 END")
 
 
-def width_without_collisions(docs: DataFrame, key: str = KEY) -> int:
-    """How many letters longer drawn surrogates have to be for all distinct entities of docs to stay apart."""
-    found = docs.select(F.explode(entities(F.col("text").cast("string"))).alias("e")).select(F.expr(_normal("e")).alias("e"), F.expr(_kind("e")).alias("kind"))
-    found = written(found.filter("kind NOT IN ('digits', 'ip')").groupBy("e", "kind").agg(F.count("*").alias("places")))
-    for width in range(9):
-        drawn = found.select("e", F.expr(_surrogate("e", key, width)).alias("s"))
-        shared = drawn.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
-        if shared.isEmpty() and drawn.select("s").join(found.select("e"), F.col("s") == F.col("e"), "left_semi").isEmpty():
-            return width
-    raise ValueError("surrogates collide at every width")
+def _drawn_entities(docs: DataFrame) -> DataFrame:
+    """The distinct entities of docs whose surrogates are drawn: normal form, kind, and one e for each gender of address."""
+    title = f"regexp_extract(e, {_text(rf'^(?:{_TITLE})')}, 0)"
+    gender = f"CASE WHEN {title} IN ({', '.join(map(_text, _HE))}) THEN 'he' WHEN {title} IN ({', '.join(map(_text, _SHE))}) THEN 'she' ELSE 'any' END"
+    found = docs.select(F.explode(entities(F.col("text").cast("string"))).alias("e"))
+    found = found.select("e", F.expr(_normal("e")).alias("normal"), F.expr(_kind("e")).alias("kind"), F.expr(gender).alias("gender"))
+    return written(found.filter("kind NOT IN ('digits', 'ip')").groupBy("normal", "kind", "gender").agg(F.min("e").alias("e")))
+
+
+def _colliding(found: DataFrame, key: str, width: int, salt: str = "") -> DataFrame:
+    """normal and kind of the entities whose surrogate is an entity that occurs or belongs to a smaller one too."""
+    found = found.withColumn("id", F.expr(_salted("normal", salt) if salt else "normal")).withColumn("digest", F.expr(_digest("id", key)))
+    s = _surrogate("e", "id", "digest", key, width, salt)
+    core = f"CASE kind WHEN 'email' THEN lower(s) WHEN 'name' THEN regexp_replace(s, {_text(rf'^(?:{_TITLE})[.]? ')}, '') ELSE s END"
+    drawn = found.withColumn("s", F.expr(s)).select("normal", "kind", F.expr(core).alias("s"))
+    first = drawn.groupBy("s").agg(F.min("normal").alias("first"), F.count_distinct("normal").alias("n")).filter("n > 1").select("s", "first")
+    shared = drawn.join(first, "s").filter("normal <> first").select("normal", "kind")
+    occurs = drawn.join(found.select(F.col("normal").alias("s")).distinct(), "s", "left_semi").select("normal", "kind")
+    return shared.union(occurs).distinct()
+
+
+def without_collisions(docs: DataFrame, key: str = KEY) -> tuple[int, DataFrame | None]:
+    """How many letters longer names and e-mails have to be, and normal, salt of the entities that have to be drawn again for all
+    distinct entities of docs to stay apart; None without any."""
+    found = _drawn_entities(docs)
+    for width in range(WIDEST + 1):
+        collided = written(_colliding(found, key, width))
+        if collided.filter("kind <> 'secret'").isEmpty():
+            break
+    salts = None
+    while not collided.isEmpty():
+        more = collided.select("normal").distinct().withColumn("salt", F.lit(1))
+        salts = more if salts is None else salts.union(more).groupBy("normal").agg(F.sum("salt").cast("int").alias("salt"))
+        salts = written(salts)
+        salted = found.join(salts, "normal", "left").withColumn("salt", F.coalesce("salt", F.lit(0)))
+        collided = written(_colliding(salted, key, width, "salt"))
+    return width, salts
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with the entities in its text replaced; all columns stay."""
-    width = width_without_collisions(docs, key)
-    return docs.withColumn("text", F.col("text").cast("string")).withColumn("text", replaced("text", key, width))
+    width, salts = without_collisions(docs, key)
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    if salts is None:
+        return out.withColumn("text", replaced("text", key, width))
+    # one row: the few entities that collide
+    held = salts.agg(F.map_from_entries(F.collect_list(F.struct("normal", "salt"))).alias("_salts"))
+    return out.crossJoin(F.broadcast(held)).withColumn("text", replaced("text", key, width, "_salts")).select(*docs.columns)
 
 
-def replaced(text: str, key: str = KEY, width: int = 0) -> Column:
+def replaced(text: str, key: str = KEY, width: int = 0, salts: str = "") -> Column:
     """The column text with surrogates in the place of its entities: what stands between entities alternates with them."""
     found, gaps = f"regexp_extract_all({text}, {_text(PATTERN)}, 0)", f"split({text}, {_text(PATTERN)}, -1)"
-    whole = f"array_join(zip_with({gaps}, {found}, (g, e) -> concat(g, CASE WHEN e IS NULL THEN '' ELSE {_surrogate('e', key, width)} END)), '')"
+    salt = f"coalesce(element_at({salts}, {_normal('y')}), 0)" if salts else "0"
+    found = f"transform({found}, y -> named_struct('e', y, 'id', {_normal('y')}, 'salt', {salt}))"
+    if salts:
+        found = f"transform({found}, y -> named_struct('e', y.e, 'id', {_salted('y.id', 'y.salt')}, 'salt', y.salt))"
+    found = f"transform({found}, y -> named_struct('e', y.e, 'id', y.id, 'salt', y.salt, 'digest', {_digest('y.id', key)}))"
+    one = f"(g, x) -> concat(g, CASE WHEN x IS NULL THEN '' ELSE {_surrogate('x.e', 'x.id', 'x.digest', key, width, 'x.salt' if salts else '')} END)"
+    whole = f"array_join(zip_with({gaps}, {found}, {one}), '')"
     return F.expr(f"CASE WHEN {text} RLIKE {_text(_HINT)} AND {text} RLIKE {_text(PATTERN)} THEN {whole} ELSE {text} END")

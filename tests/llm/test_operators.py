@@ -111,6 +111,25 @@ def test_surrogates_keep_entities_apart(spark):
         assert len({r.text.split(" ")[place] for r in out}) == 2000
 
 
+def test_surrogates_of_short_and_foreign_secrets(spark):
+    secrets = ["******", "******!", "密码密码密码", "كلمةالسر", "------", "password", "######"]
+    texts = [f'token = "{s}"' for s in secrets] + ['token = "******"', "Mr. Smith met Dr Smith and Frau Smith", "Mr. Иванов"]
+    out = [r.text for r in privacy.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    drawn = [re.fullmatch(r'token = "(.+)"', x).group(1) for x in out[:8]]
+    assert len(set(drawn[:7])) == 7 and not set(drawn) & set(secrets) and drawn[7] == drawn[0]
+    assert re.fullmatch(r"[\u4e00-\u9fff]{6}", drawn[2]) and re.fullmatch(r"[\u0600-\u06ff]{8}", drawn[3])
+    family = re.fullmatch(r"Mr\. (\w+) met Dr (\w+) and Frau (\w+)", out[8]).groups()
+    assert len(set(family)) == 1 and family[0] != "Smith"
+    assert re.fullmatch(r"Mr\. [А-Я][а-я]{5}", out[9]) and out[9] != texts[9]
+
+
+def test_secrets_with_one_surrogate_part(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "_digest", lambda id_, key: f"repeat(CASE WHEN {id_} LIKE '%|%' THEN sha2({id_}, 512) ELSE '0' END, 512)")
+    rows = [(k, f'token = "{s}"') for k, s in enumerate(["abcabc", "bcabca", "cabcab"])]
+    out = [r.text for r in privacy.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(out)) == 3 and not set(out) & {t for _, t in rows}
+
+
 # --- 3: html
 
 
