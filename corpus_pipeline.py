@@ -20,9 +20,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays; rows that share a doc_id count as one document."""
-    kept = written(near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct())
-    return docs.join(broadcast_if_small(kept, 16), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each class stays, the one of the smallest doc_id. Rows are told apart by a written key of their own, so null or
+    repeated doc_ids neither drop rows nor keep copies."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row"))
+    kept = written(found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row"))
+    return rows.join(broadcast_if_small(kept, 16), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -433,3 +433,19 @@ def test_pipeline(spark, tmp_path):
     text = "".join(bpe.codec(vocabulary()).decode([",".join(map(str, out[203].token_ids))]))
     assert "jo.1@mail" not in text and text.startswith(dict(rows)[203][:300])
     assert "".join(bpe.codec(vocabulary()).decode([",".join(map(str, out[5].token_ids))])) == good[5] and out[5].n_tokens == len(out[5].token_ids)
+
+
+def test_near_duplicate_stage_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 120) for _ in range(4))
+    rows = [(None, a), (None, b), (1, b), (2, c), (2, c), (3, d), (3, d + " more"), (3, a + " more"), (None, None), (4, "")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(repr(r) for r in out_rows(out, a, b, c, d))
+
+
+def out_rows(out, a, b, c, d):
+    """One of each class: b's under its id, d's of one text or the other."""
+    last = next(r.text for r in out if r.text in (d, d + " more"))
+    return [(3, a + " more"), (1, b), (2, c), (3, last), (None, None), (4, "")]
