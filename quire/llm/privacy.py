@@ -85,12 +85,12 @@ _UNCASED = [("Han", "天地山水火木金土日月人口手足目耳心力田
 def _drawn(e: str, digest: str, marks: str = "false") -> str:
     """Every letter and digit of e replaced by a keyed one of the same class, case and script; where marks holds, all else too."""
     k = f"conv(substr({digest}, 1 + 2 * (i % 256), 2), 16, 10)"
-    pick = lambda letters: f"substr('{letters}', 1 + cast({k} AS INT) % {len(letters)}, 1)"
     cases = [("[0-9]", "0123456789"), ("[a-f]", "abcdef"), ("[A-F]", "ABCDEF"), ("[g-z]", "ghijklmnopqrstuvwxyz"), ("[G-Z]", "GHIJKLMNOPQRSTUVWXYZ")]
     other = [x for script, low in _CASED for x in ((rf"[\p{{Is{script}}}&&\p{{Ll}}]", low), (rf"[\p{{Is{script}}}&&\p{{Lu}}]", low.upper()))]
     other += [(rf"[\p{{Is{script}}}&&\p{{L}}]", letters) for script, letters in _UNCASED] + [(r"\p{Lu}", "ÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÛÜ"), (r"\p{L}", "àâäçèéêëîïñóôöùûü"), (r"\p{N}", "0123456789")]
-    when = lambda pairs: " ".join(f"WHEN c RLIKE {_text(x)} THEN {pick(y)}" for x, y in pairs)
-    return f"array_join(transform(split({e}, ''), (c, i) -> CASE {when(cases)} WHEN c < '\u007f' AND NOT {marks} THEN c {when(other)} WHEN {marks} THEN {pick('!#$%&*+-./:;=?^_~')} ELSE c END), '')"
+    when = lambda pairs: " ".join(f"WHEN c RLIKE {_text(x)} THEN '{y}'" for x, y in pairs)
+    letters = f"CASE {when(cases)} WHEN c < '\u007f' AND NOT {marks} THEN '' {when(other)} WHEN {marks} THEN '!#$%&*+-./:;=?^_~' ELSE '' END"
+    return f"array_join(transform(split({e}, ''), (c, i) -> element_at(transform(array({letters}), w -> CASE WHEN w = '' THEN c ELSE substr(w, 1 + cast({k} AS INT) % length(w), 1) END), 1)), '')"
 
 
 def _permuted(digits: str, key: str) -> str:
@@ -125,16 +125,16 @@ def _surrogate(e: str, id_: str, digest: str, key: str, width: int, salt: str =
     pair = lambda j: f"cast(conv(substr(sha2(concat({k}, '|x|', {id_}), 512), {j}, 2), 16, 10) AS INT)"
     domain = "concat(" + ", ".join(f"substr('abcdefghijklmnopqrstuvwxyz', 1 + {pair(1 + 2 * j)} % 26, 1)" for j in range(8 + width)) + f", '.example.', element_at(array('com', 'org', 'net'), 1 + {pair(61)} % 3))"
     email = f"concat({_drawn(f'split(lower({e}), {_text('@')})[0]', digest)}, '@', {domain})"
-    email = f"CASE WHEN {e} = upper({e}) THEN upper({email}) ELSE {email} END"
+    email = f"element_at(transform(array({email}), m -> CASE WHEN {e} = upper({e}) THEN upper(m) ELSE m END), 1)"
     title = f"regexp_extract({e}, {_text(rf'^(?:{_TITLE})[.]? ')}, 0)"
     which = f"CASE WHEN {title} RLIKE {_text(rf'^(?:{"|".join(_HE)})[.]? $')} THEN {_list(_GIVEN['he'])} WHEN {title} RLIKE {_text(rf'^(?:{"|".join(_SHE)})[.]? $')} THEN {_list(_GIVEN['she'])} ELSE {_list(_GIVEN['any'])} END"
     family = "initcap(concat(" + ", ".join(f"element_at({_list(_SYLLABLES)}, 1 + {pair(65 + 2 * j)} % {len(_SYLLABLES)})" for j in range(4 + width)) + "))"
     given = f"CASE WHEN size(split({e}, ' ')) > 2 THEN concat(element_at({which}, 1 + {pair(63)} % 16), ' ') ELSE '' END"
     bare = f"substr({e}, length({title}) + 1)"
     name = f"CASE WHEN {bare} RLIKE {_text('^[^ ]*[' + chr(92) + 'p{IsLatin}]')} THEN concat({given}, {family}) ELSE {_drawn(bare, digest)} END"
-    secret = _drawn(e, digest)
+    secret = _drawn(e, digest, f"{salt} > 0" if salt else "false")
     if salt:
-        secret = f"concat({_drawn(e, digest, f'{salt} > 0')}, substr({digest}, 257, greatest(0, {salt} - {AGAIN})))"
+        secret = f"concat({secret}, substr({digest}, 257, greatest(0, {salt} - {AGAIN})))"
     return f"CASE {_kind(e)} WHEN 'email' THEN {email} WHEN 'ip' THEN {address} WHEN 'name' THEN concat({title}, {name}) WHEN 'digits' THEN {spread} ELSE {secret} END"
 
 
