@@ -7,11 +7,13 @@ empty, linked with nothing). Two documents are linked if 100 * |A & B| >= 75 * |
    register value, truncated to [0, Q + 1]. Registers merge by maximum.
 2. Documents with equal sets fold to one representative per set (summed on the map side), so groups of exact copies of
    any size cost one row from here on.
-3. Bands of register values put representatives into buckets. A bucket is never expanded into its pairs: each member
-   is compared with the bucket's hub (the member that stands for most copies), then links become components.
-4. Members that a hub did not link go on in rounds: each meets the bucket's other components in blocks of sketches, and
-   per component the likeliest partners go to verification, four times as many each round, until every likely pair
-   between components has been tried.
+3. Bands of register values put representatives into buckets; buckets of equal members fold to the one of the lowest band.
+   A bucket is never expanded into its pairs: each member is compared with the bucket's hub, then links become components.
+   The hub is the member whose buckets are largest together: in a group of near copies that is the text they all derive
+   from, so one round links such a group whatever its size.
+4. Members that no hub linked meet the bucket's other components in blocks of sketches, and per component the likeliest
+   partners go to verification. Only those that had more likely partners in a component than were tried, and still are not
+   linked with it, go on to a round of more, until every likely pair between components has been tried.
 5. Pairs that the likelihood keeps are verified on the full sets.
 
 Only ids, bands and sketches are shuffled, and the texts of bucketed documents once. Equal doc_id values in several rows
@@ -45,7 +47,7 @@ B = ESTIMATING[0]
 LIKELY, EQUAL = 0.68, 0.65
 #: Sketches in a block of a large bucket, and partners tried per member and component in the first round; each round has
 #: sixteen times as many.
-BLOCK, TRIES = 256, 64
+BLOCK, TRIES = 2048, 64
 
 _SEEDS = mixed(np.arange(1, (REGISTERS + FINE) // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
@@ -165,14 +167,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_hubs(keys: DataFrame) -> DataFrame:
+    """key, band, rep, hub, members of the buckets (key, band, rep) with several members; of buckets with equal members, one.
+
+    Only the fold of a bucket is ever gathered: its size and two checksums of its members, and its most central member.
+    """
+    each = F.xxhash64("rep")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.shiftright(each, 8)).alias("sum"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"), F.first("band").alias("band"))
+    shared = written(sizes.filter("members > 1"))
+    kept = shared.groupBy("members", "sum", "xor").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", "members")
+    placed = written(keys.join(kept, "key").select("key", "band", "rep", "members"))
+    central = placed.groupBy("rep").agg(F.sum("members").alias("central"))
+    hubs = placed.join(central, "rep").groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("top"))
+    return placed.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").select("key", "band", "rep", "hub", "members")
+
+
 def classes(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
-    """node, component of the linked ones among the representatives (rep, copies, sketch); docs has their texts, and
+    """node, component of the linked ones among the representatives (rep, sketch); docs has their texts, and
     ids in several rows if repeated."""
     band = lambda k: F.xxhash64(F.lit(k), F.expr(f"substring(sketch, {2 * ROWS * k + 1}, {2 * ROWS})"))
-    keys = reps.select("rep", "copies", F.posexplode(F.array(*[band(k) for k in range(BANDS)])).alias("band", "key"))
-    hubs = keys.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("members"))
-    hubs = hubs.filter("members > 1").select("key", (-F.col("top.minus")).alias("hub"))
-    bucketed = written(keys.join(hubs, "key").select("key", "band", "rep", "hub"))
+    keys = reps.select("rep", F.posexplode(F.array(*[band(k) for k in range(BANDS)])).alias("band", "key"))
+    bucketed = written(_with_hubs(keys))
     inside = written(bucketed.select("rep").distinct())
     near_ids = broadcast_if_small(inside, 16)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("text is not null")
@@ -198,40 +213,50 @@ def classes(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
     first = first.filter(F.least("n_a", "n_b") * PART >= F.greatest("n_a", "n_b") * SHARE)
     first = first.select("a", "b", "fine_a", "fine_b", "n_a", "n_b").mapInArrow(_estimated, "a long, b long")
     tried = written(verified(written(first)))
-    labels, tries = components(tried.filter("linked")), TRIES
+    labels, tries, asking = components(tried.filter("linked")), TRIES, None
     while True:
-        found = written(_untried(_open(bucketed, labels), own, tries))
-        pairs = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        found = written(_untried(_open(bucketed, labels, asking), own, tries))
+        pairs = written(found.select(F.least("asks", "other").alias("a"), F.greatest("asks", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         new = written(verified(pairs))
         tried, tries = written(tried.union(new)), 16 * tries
         if not new.filter("linked").isEmpty():
             labels = components(tried.filter("linked"))
-        if found.filter("cut").isEmpty():  # every likely pair between components has been tried
+        short = found.filter("cut").select("asks", "other").distinct()
+        for name in ("asks", "other"):
+            short = short.join(labels.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}")), name, "left")
+        asking = written(short.filter("coalesce(in_asks, asks) <> coalesce(in_other, other)").select(F.col("asks").alias("rep")).distinct())
+        if asking.isEmpty():  # every likely pair between components has been tried
             return labels
 
 
-def _open(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (key, band, rep, component) of buckets that hold several components, with the bucket's largest one and its size."""
-    placed = bucketed.select("key", "band", "rep").join(labels, bucketed.rep == labels.node, "left")
-    placed = written(placed.select("key", "band", "rep", F.coalesce("component", "rep").alias("component")))
+def _open(bucketed: DataFrame, labels: DataFrame, asking: DataFrame | None) -> DataFrame:
+    """rep, component, places of the members of buckets that hold several components: per bucket its key, band, blocks and
+    whether the member asks there. First the members outside the bucket's largest component ask, later the given ones."""
+    placed = bucketed.select("key", "band", "rep", "members").join(labels, bucketed.rep == labels.node, "left")
+    placed = written(placed.select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("component")))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("members"))
-    return placed.join(main.filter("parts > 1").select("key", F.col("top.component").alias("main"), "members"), "key")
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"))
+    rows = placed.join(main.filter("parts > 1").select("key", F.col("top.component").alias("main")), "key").withColumn("asks", F.col("component") != F.col("main"))
+    if asking is not None:
+        rows = rows.join(asking.withColumn("again", F.lit(True)), "rep", "left").withColumn("asks", F.coalesce("again", F.lit(False)))
+        rows = rows.join(rows.filter("asks").select("key").distinct(), "key", "left_semi")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    return rows.groupBy("rep", "component").agg(F.collect_list(F.struct("key", "band", blocks.alias("blocks"), "asks")).alias("places"))
 
 
 def _untried(open_: DataFrame, own: DataFrame, tries: int) -> DataFrame:
-    """a, b, cut: likely pairs between components; per member outside its bucket's main component the likeliest partners of
-    each other component, and whether there were more.
+    """asks, other, cut: likely pairs between components; per member that asks, the likeliest partners of each other
+    component, and whether there were more.
 
-    Members are dealt into blocks of about BLOCK, which each such member meets once; what leaves a block are its likely
-    pairs only.
+    Members are dealt into blocks of about BLOCK, which each member that asks meets once; what leaves a block are its likely
+    pairs only. A member's sketch is joined once, whatever the number of its buckets.
     """
-    rows = open_.join(own, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    put = ["key", "block", "asks", "band", "rep", "component", "n", "bands", "fine"]
-    members = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(*put)
-    asking = rows.filter("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)).select(*put)
-    dealt = members.unionByName(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
-    return dealt.mapInArrow(lambda batches: _meetings(batches, tries), "a long, b long, cut boolean")
+    own_block = "named_struct('key', p.key, 'band', p.band, 'block', cast(pmod(xxhash64(rep), p.blocks) AS INT), 'asks', false)"
+    all_blocks = "transform(sequence(0, p.blocks - 1), k -> named_struct('key', p.key, 'band', p.band, 'block', k, 'asks', true))"
+    visits = f"flatten(transform(places, p -> CASE WHEN p.asks THEN concat(array({own_block}), {all_blocks}) ELSE array({own_block}) END))"
+    rows = open_.join(own, "rep").select("rep", "component", "n", "bands", "fine", F.expr(f"inline({visits})"))
+    dealt = rows.select("key", "block", "asks", "band", "rep", "component", "n", "bands", "fine").repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+    return dealt.mapInArrow(lambda batches: _meetings(batches, tries), "asks long, other long, cut boolean")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], tries: int) -> Iterator[pa.RecordBatch]:
@@ -251,7 +276,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], tries: int) -> Iterator[pa.Reco
             if known:
                 found += _likely(known, band, tries, *x)
         a, b, cut = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["asks", "other", "cut"])
 
 
 def _likely(known: tuple, band: int, tries: int, rep: int, comp: int, n: int, coarse: bytes, fine: bytes) -> list[tuple[int, int, bool]]:
@@ -267,20 +292,22 @@ def _likely(known: tuple, band: int, tries: int, rep: int, comp: int, n: int, co
         return []
     est = likelihood(np.broadcast_to(own, (len(fit), FINE)), sketches[fit], np.full(len(fit), float(n)), sizes[fit])
     fit, est = fit[est >= LIKELY], est[est >= LIKELY]
+    if not len(fit):
+        return []
     fit = fit[np.lexsort((reps[fit], -est, comps[fit]))]
     place = np.arange(len(fit)) - np.searchsorted(comps[fit], comps[fit])
-    cut = bool((place >= tries).any())
-    return [(min(rep, y), max(rep, y), cut) for y in reps[fit[place < tries]].tolist()]
+    cut = np.searchsorted(comps[fit], comps[fit], "right") - np.searchsorted(comps[fit], comps[fit]) > tries
+    return [(rep, y, many) for y, many in zip(reps[fit[place < tries]].tolist(), cut[place < tries].tolist(), strict=True)]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); kept marks one document of each class."""
     small_batches(docs.sparkSession)
     all_ = written(sketch(docs))
-    reps = all_.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    reps = all_.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     reps = written(reps)
     repeated = not all_.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    linked = classes(docs, reps.select("rep", "copies", "sketch"), repeated)
+    linked = classes(docs, reps.select("rep", "sketch"), repeated)
     rep = reps.join(linked, reps.rep == linked.node, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n_shingles", "set_id").join(rep, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
