@@ -7,7 +7,9 @@ verified by the bit-parallel edit distance of the whole item against the words a
 
 The benchmark is cut into blocks of at most BLOCK_BYTES of text; each block is indexed on its own and meets every document,
 so what is broadcast is bounded whatever the benchmark's size. Documents are never shuffled. Items without words match
-nothing; null texts and null items count as empty; repeated rows are reported each.
+nothing; null texts and null items count as empty; repeated rows and null ids are reported each. Of several places of an item
+in a document the one with the fewest edits is told, the first found among equals. Empty tables give no rows; other columns,
+whatever their names, are not looked at by find() and are passed on by clean(). A very long text is read in pieces of words.
 """
 
 from __future__ import annotations
@@ -61,8 +63,9 @@ class Index:
     @staticmethod
     def of(rows: list[tuple[int, str | None]], rate: float = RATE) -> Index:
         index, by_size = Index(), {}
-        for item, text in rows:
-            words, _ = word_hashes(np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8), PUNCTUATION)
+        folded = pc.utf8_lower(pa.array([text or "" for _, text in rows], pa.string()))  # as the documents are
+        for (item, _), text in zip(rows, folded, strict=True):
+            words, _ = word_hashes(np.frombuffer(text.as_buffer(), np.uint8), PUNCTUATION)
             m = len(words)
             if m:
                 budget = int(rate * m)
@@ -81,7 +84,7 @@ class Index:
         words holds the words of several rows; first tells where each begins.
         """
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        seen: dict[tuple[int, int], list[int]] = {}
+        seen: dict[tuple[int, int], set[int]] = {}
         for size, (hashes, items, places) in self.pieces.items():
             if len(words) < size:
                 continue
@@ -103,10 +106,10 @@ class Index:
 
     def _verify(self, row: int, k: int, begin: int, words: np.ndarray, start: int, stop: int, found: dict, seen: dict) -> None:
         _, pattern, budget = self.items[k]
-        diagonals = seen.setdefault((row, k), [])
+        diagonals = seen.setdefault((row, k), set())
         if found.get((row, k), (1, 0))[0] == 0 or begin in diagonals:
             return
-        diagonals.append(begin)
+        diagonals.add(begin)
         if k not in self.masks:
             masks: dict[int, int] = {}
             for place, word in enumerate(pattern.tolist()):

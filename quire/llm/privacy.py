@@ -14,7 +14,12 @@ letters, so that this ends. The check shuffles distinct entities only; texts are
 A name is the same with any form of address before it, and its family name too; a given name follows the gender of the form of
 address. Names in other scripts than Latin are drawn letter by letter in their own.
 
-Null and empty texts stay as they are, and all other columns are passed on.
+The key comes from the caller and has no default. Digits keep their number and format, not a checksum. As permutations they
+need no check: two of one format never share a surrogate, though a surrogate can be a number that occurs elsewhere.
+
+Null and empty texts stay as they are; ties and repeated rows get the same surrogates; an empty table gives an empty one; all
+other columns, whatever their names, are passed on. A very long text is replaced whole; its pattern has no part that recurs on
+itself, so its length doesn't deepen the stack.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ from pyspark.sql import functions as F
 
 from quire.llm._core import written
 
-KEY = "quire-surrogates-1"
 #: Salts that draw a secret again at its own length; each further one makes it a letter longer. Most letters that names and e-mails grow.
 AGAIN, WIDEST = 8, 8
 # Forms of address by gender, given names by gender, syllables of family names.
@@ -41,8 +45,9 @@ _SYLLABLES = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ha",
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(_HE + _SHE + _ANY)
 _WORDISH = r"\p{L}\p{N}._%+\-"
+_LABEL = r"\p{L}\p{N}\-"
 PATTERN = "|".join([
-    rf"(?<![{_WORDISH}])[{_WORDISH}]++@(?:[\p{{L}}\p{{N}}\-]+\.)+\p{{L}}{{2,}}",
+    rf"(?<![{_WORDISH}])[{_WORDISH}]++@(?:[{_LABEL}]++\.(?=\p{{L}}{{2}}|[{_LABEL}]++\.[{_LABEL}]))++\p{{L}}{{2,}}",
     rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|(?<!\d)\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)",
     r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
@@ -169,7 +174,7 @@ def _colliding(found: DataFrame, key: str, width: int, salt: str = "") -> DataFr
     return shared.union(occurs).distinct()
 
 
-def without_collisions(docs: DataFrame, key: str = KEY) -> tuple[int, DataFrame | None]:
+def without_collisions(docs: DataFrame, key: str) -> tuple[int, DataFrame | None]:
     """How many letters longer names and e-mails have to be, and normal, salt of the entities that have to be drawn again for all
     distinct entities of docs to stay apart; None without any."""
     found = _drawn_entities(docs)
@@ -187,8 +192,10 @@ def without_collisions(docs: DataFrame, key: str = KEY) -> tuple[int, DataFrame
     return width, salts
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with the entities in its text replaced; all columns stay."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs with the entities in its text replaced under a secret key; all columns stay."""
+    if not key:
+        raise ValueError("surrogates need a key")
     width, salts = without_collisions(docs, key)
     out = docs.withColumn("text", F.col("text").cast("string"))
     if salts is None:
@@ -198,7 +205,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     return out.crossJoin(F.broadcast(held)).withColumn("text", replaced("text", key, width, "_salts")).select(*docs.columns)
 
 
-def replaced(text: str, key: str = KEY, width: int = 0, salts: str = "") -> Column:
+def replaced(text: str, key: str, width: int = 0, salts: str = "") -> Column:
     """The column text with surrogates in the place of its entities: what stands between entities alternates with them."""
     found, gaps = f"regexp_extract_all({text}, {_text(PATTERN)}, 0)", f"split({text}, {_text(PATTERN)}, -1)"
     salt = f"coalesce(element_at({salts}, {_normal('y')}), 0)" if salts else "0"

@@ -18,13 +18,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret key of surrogates, from spark.quire.surrogate.key; a plain one only for the synthetic test tables."""
+    return spark.conf.get("spark.quire.surrogate.key", None) or "key-of-the-synthetic-tables"
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return privacy.pseudonymise(docs.withColumn("n_entities", privacy.count_entities("text")))
+    return privacy.pseudonymise(docs.withColumn("n_entities", privacy.count_entities("text")), surrogate_key(spark))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

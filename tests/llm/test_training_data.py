@@ -91,7 +91,7 @@ def test_surrogates(spark):
         "clean text, version 2.0, in 1999 and 12.5 percent", None, "", "jo.81@mail7.example.com",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = [r.text for r in privacy.pseudonymise(docs).orderBy("doc_id").collect()]
+    out = [r.text for r in privacy.pseudonymise(docs, "key").orderBy("doc_id").collect()]
     assert out[3:6] == texts[3:6]
     for secret in ("jo.81@", "555-7713", "226.203.165.104", "4845168114407329", "2abc3ff2", "123-45-6789", "Smith", "Müller", "ключ"):
         assert secret.lower() not in " ".join(x or "" for x in out).lower()
@@ -106,7 +106,7 @@ def test_surrogates(spark):
 
 def test_surrogates_keep_entities_apart(spark):
     rows = [(k, f"{4000000000000000 + k} u{k}@a.org 10.0.{k // 250}.{k % 250}") for k in range(2000)]
-    out = privacy.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = privacy.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
     for place in range(3):
         assert len({r.text.split(" ")[place] for r in out}) == 2000
 
@@ -114,7 +114,7 @@ def test_surrogates_keep_entities_apart(spark):
 def test_surrogates_of_short_and_foreign_secrets(spark):
     secrets = ["******", "******!", "密码密码密码", "كلمةالسر", "------", "password", "######"]
     texts = [f'token = "{s}"' for s in secrets] + ['token = "******"', "Mr. Smith met Dr Smith and Frau Smith", "Mr. Иванов"]
-    out = [r.text for r in privacy.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r.text for r in privacy.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
     drawn = [re.fullmatch(r'token = "(.+)"', x).group(1) for x in out[:8]]
     assert len(set(drawn[:7])) == 7 and not set(drawn) & set(secrets) and drawn[7] == drawn[0]
     assert re.fullmatch(r"[\u4e00-\u9fff]{6}", drawn[2]) and re.fullmatch(r"[\u0600-\u06ff]{8}", drawn[3])
@@ -126,7 +126,7 @@ def test_surrogates_of_short_and_foreign_secrets(spark):
 def test_secrets_with_one_surrogate_part(spark, monkeypatch):
     monkeypatch.setattr(privacy, "_digest", lambda id_, key: f"repeat(CASE WHEN {id_} LIKE '%|%' THEN sha2({id_}, 512) ELSE '0' END, 512)")
     rows = [(k, f'token = "{s}"') for k, s in enumerate(["abcabc", "bcabca", "cabcab"])]
-    out = [r.text for r in privacy.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    out = [r.text for r in privacy.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()]
     assert len(set(out)) == 3 and not set(out) & {t for _, t in rows}
 
 
@@ -401,7 +401,7 @@ def test_quality(spark):
     out = {r.doc_id: r for r in quality.classify(docs, marks).collect()}
     assert np.mean([out[k].predicted == (k % 5 != 0) for k in range(600) if out[k].held_out]) > 0.97
     assert all(out[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= out[k].score <= 1 for k in out)
-    assert out[1000].score == out[1001].score == 0 and len(out) == 602
+    assert out[1000].score == out[1001].score < 0.3 and len(out) == 602  # scored like any text
     assert quality.classify(docs, marks.limit(0)).count() == 602 and quality.classify(docs.limit(0), marks).count() == 0
 
 
