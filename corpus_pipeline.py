@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet in the shared folder
 and reads them again as the next stage's docs. All stages but the last return the columns of documents.
+
+Rows with a null or repeated doc_id are worked on like others; null and empty texts are scored by the classifier and, if kept,
+pass the other stages as they are; of repeated rows one stays; empty tables give an empty result; columns besides doc_id and
+text, whatever their names, are passed on up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontaminate, near_dedup, privacy, quality
 from quire.llm._core import broadcast_if_small, table, written
-from quire.llm.queries import vocabulary
+from quire.llm.queries import surrogate_key, vocabulary
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to surrogates; n_chars follows the text."""
-    out = privacy.pseudonymise(docs)
+    out = privacy.pseudonymise(docs, surrogate_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
