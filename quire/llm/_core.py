@@ -65,6 +65,37 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tally:
+    """Counts of 64-bit keys by name, held up to a number of keys and then handed on, so memory has a bound."""
+
+    def __init__(self, most: int = 1 << 21) -> None:
+        self.most, self.size = most, 0
+        self.held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, name: str, keys: np.ndarray) -> None:
+        found, n = np.unique(keys, return_counts=True)
+        self.held.setdefault(name, []).append((found, n))
+        self.size += len(found)
+
+    def full(self) -> bool:
+        if self.size > self.most:
+            for name, parts_ in self.held.items():
+                self.held[name] = [summed(*(np.concatenate(x) for x in zip(*parts_, strict=True)))]
+            self.size = sum(len(x[0][0]) for x in self.held.values())
+        return self.size > self.most // 2
+
+    def taken(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        for name, parts_ in self.held.items():
+            yield name, *summed(*(np.concatenate(x) for x in zip(*parts_, strict=True)))
+        self.held, self.size = {}, 0
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, with the sums of their n."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, len(found)).astype(np.int64)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint only if the counted rows stay below the limit; df should be cheap to count (written())."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

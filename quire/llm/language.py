@@ -1,14 +1,17 @@
 """Language identification by language-bitmask n-gram filters.
 
-Learning: Spark counts hashed letter n-grams (word edges included) per language over all learning texts, in a fixed space of
-2 ** SPACE n-gram numbers; a language owns an n-gram if it is used there at least SHARE times as often as in the language that
-uses it most. The owned n-grams fill Bloom filters that are sliced by bit: one array of words, whose bit L at a place belongs
-to language L, so the AND of the K places of an n-gram gives the mask of all languages that contain it.
+Learning: Spark counts letter n-grams (word edges included; 64-bit hashes, never folded) per language over all learning texts.
+A language owns an n-gram that makes up at least LEAST of its n-grams and stands there at least SHARE times as often as in the
+language that uses it most. The owned n-grams fill Bloom filters that are sliced by bit: one array of words, whose bit L at a place belongs
+to language L, so the AND of the K places of an n-gram gives the mask of all languages that contain it. Spark sets the bits, and what
+reaches the driver are the words of the filter, whose number FILTER bounds.
 
 Prediction: each language's popcount over a text's n-grams, less the false positives that its filter's fill leads one to
 expect, decides; the score is the winner's part of the corrected counts. A text without letters, and a null or empty one, is
-`und` with score 0; so is every text if there is nothing to learn from. Ties go to the first language in the alphabet. The
-model's size is fixed by SPACE and the number of languages, not by the corpus. Only texts are looked at.
+`und` with score 0; so is every text if there is nothing to learn from. Ties go to the first language in the alphabet. Only texts
+are looked at, whole and in pieces of PIECE characters, so a very long one needs no more memory than its own. A null doc_id is in the
+learning part; repeated rows teach as often as they occur and get equal answers; other columns, whatever their names, are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,69 +24,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._core import mixed, parts, small_batches, written
+from quire.llm._core import Tally, mixed, parts, small_batches, written
 
 ORDERS = (2, 3, 4)
-#: Bits of an n-gram's number, of a filter's length, and hash places of an n-gram.
-SPACE, FILTER, K = 18, 21, 4
-SHARE = 0.3
-#: Texts counted together in a partition, by language, before they are handed on.
-HELD = 32
+#: Bits of the number of places of a filter, and hash places of an n-gram.
+FILTER, K = 22, 4
+#: Least part of a language's n-grams, and of the use in the language that uses it most, of an n-gram that it owns. The first leaves a
+#: language at most 1 / LEAST n-grams, so the filters' fill has a bound at any size of the corpus.
+LEAST, SHARE = 2e-6, 0.3
+PIECE = 1 << 16
 UNKNOWN = "und"
-
-
-def grams(text: str) -> np.ndarray:
-    """The numbers of a text's letter n-grams in lower case; every run of other characters is one edge."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _letters(code)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    code = np.where(letter, code, 0)[keep]
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    code = np.concatenate([[0], code, [0] if code[-1] else []]).astype(np.uint64)
-    out = []
-    for n in ORDERS:
-        if len(code) >= n:
-            h = np.full(len(code) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = h * np.uint64(0x100000001B3) + code[k : len(code) - n + 1 + k]
-            out.append(mixed(h) >> np.uint64(64 - SPACE))
-    return np.concatenate(out).astype(np.int64)
-
-
-_LETTERS: dict[str, np.ndarray] = {}
+_LETTERS: list[np.ndarray] = []
 
 
 def _letters(code: np.ndarray) -> np.ndarray:
-    if "table" not in _LETTERS:
-        _LETTERS["table"] = np.array([chr(k).isalpha() for k in range(0x30000)])
-    return _LETTERS["table"][np.minimum(code, 0x2FFFF)]
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(k).isalpha() for k in range(0x110000)]))
+    return _LETTERS[0][code]
+
+
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """The code points of a text's letters in lower case, every run of other characters and either end as one 0; in pieces."""
+    begun = inside = False
+    for k in range(0, len(text), PIECE):
+        code = np.frombuffer(text[k : k + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
+        letter = _letters(code)
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= inside
+        inside = bool(letter[-1])
+        out = np.where(letter, code, 0)[keep]
+        if len(out):
+            yield out if begun else np.concatenate([np.zeros(1, np.uint32), out])
+            begun = True
+    if inside:
+        yield np.zeros(1, np.uint32)
+
+
+def grams(text: str) -> Iterator[np.ndarray]:
+    """The hashes of a text's n-grams, in pieces."""
+    tail = np.zeros(0, np.uint64)
+    for part in _codes(text):
+        code = np.concatenate([tail, part.astype(np.uint64)])
+        out = []
+        for n in ORDERS:
+            first = max(0, len(tail) - n + 1)
+            if len(code) - first >= n:
+                h = np.full(len(code) - first - n + 1, n, np.uint64)
+                for k in range(n):
+                    h = h * np.uint64(0x100000001B3) + code[first + k : len(code) - n + 1 + k]
+                out.append(mixed(h))
+        if out:
+            yield np.concatenate(out)
+        tail = code[-(max(ORDERS) - 1) :]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, np.ndarray] = {}
+    tally = Tally()
 
     def out() -> Iterator[pa.RecordBatch]:
-        for lang, counts in found.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang", "gram", "n"])
-        found.clear()
+        for lang, keys, n in tally.taken():
+            yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(keys), np.int8)), pa.array([lang])).cast(pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     for batch in batches:
-        for part in parts(batch, 1):
+        for part in parts(batch, 1, PIECE):
+            found: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                if lang not in found:
-                    if len(found) >= HELD:
-                        yield from out()
-                    found[lang] = np.zeros(1 << SPACE, np.int64)
-                np.add.at(found[lang], grams(text.as_py()), 1)
+                for keys in grams(text.as_py()):
+                    found.setdefault(lang, []).append(keys)
+                    if len(found[lang]) > 64:
+                        tally.add(lang, np.concatenate(found.pop(lang)))
+            for lang, keys in found.items():
+                tally.add(lang, np.concatenate(keys))
+            if tally.full():
+                yield from out()
     yield from out()
 
 
-def _places(gram: np.ndarray) -> Iterator[np.ndarray]:
+def places(gram: np.ndarray) -> Iterator[np.ndarray]:
     for k in range(K):
-        yield (mixed(gram.astype(np.uint64) + np.uint64((k + 1) << 32)) >> np.uint64(64 - FILTER)).astype(np.int64)
+        yield (mixed(gram + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))) >> np.uint64(64 - FILTER)).astype(np.int64)
 
 
 @dataclass
@@ -94,58 +114,62 @@ class Filters:
     false_rate: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @staticmethod
-    def of(langs: list[str], owned: list[np.ndarray]) -> Filters:
-        """Filters of the languages, with the numbers of the n-grams that each owns."""
-        made = Filters(list(langs), [np.zeros(1 << FILTER, np.uint64) for _ in range(-(-len(langs) // 64))])
-        rates = []
-        for k, numbers in enumerate(owned):
-            bits, bit = made.slices[k // 64], np.uint64(1 << (k % 64))
-            for at in _places(numbers):
-                bits[at] |= bit
-            rates.append(float(((bits & bit) != 0).mean()) ** K)
-        made.false_rate = np.array(rates)
+    def of(langs: list[str], words: list[tuple[np.ndarray, np.ndarray]]) -> Filters:
+        """Filters of the languages, with the places and words of each slice."""
+        made = Filters(list(langs), [np.zeros(1 << FILTER, np.uint64) for _ in words])
+        for bits, (at, mask) in zip(made.slices, words, strict=True):
+            np.bitwise_or.at(bits, at, mask)
+        fill = [((made.slices[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(langs))]
+        made.false_rate = np.array(fill, float) ** K
         return made
 
     def masks(self, gram: np.ndarray) -> list[np.ndarray]:
         """Per slice, the mask of the languages that contain each n-gram."""
         out = [np.full(len(gram), ~np.uint64(0)) for _ in self.slices]
-        for at in _places(gram):
+        for at in places(gram):
             for k, bits in enumerate(self.slices):
                 out[k] &= bits[at]
         return out
 
     def predict(self, text: str) -> tuple[str, float]:
-        gram = grams(text)
-        if not len(gram) or not self.langs:
+        hits, n = np.zeros(len(self.langs), np.int64), 0
+        for gram in grams(text) if self.langs else ():
+            masks = self.masks(gram)
+            hits += [np.count_nonzero(masks[k // 64] & np.uint64(1 << (k % 64))) for k in range(len(self.langs))]
+            n += len(gram)
+        if not n:
             return UNKNOWN, 0.0
-        masks = self.masks_of(gram)
-        hits = np.array([np.count_nonzero(masks[k // 64] & np.uint64(1 << (k % 64))) for k in range(len(self.langs))])
-        part = np.clip((hits / len(gram) - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
+        part = np.clip((hits / n - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         best = int(part.argmax())
         return self.langs[best], float(part[best] / part.sum()) if part.sum() > 0 else 0.0
 
-    def masks_of(self, gram: np.ndarray) -> list[np.ndarray]:
-        """As masks(), from a table of all n-gram numbers that is filled on first use."""
-        if not hasattr(self, "_table"):
-            self._table = self.masks(np.arange(1 << SPACE))
-        return [t[gram] for t in self._table]
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place, slice and mask of every place of the owned n-grams (gram, number of the language)."""
+    for batch in batches:
+        gram, number = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.int64)
+        for at in places(gram):
+            mask = np.uint64(1) << (number % 64).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(number // 64), pa.array(mask.view(np.int64))], names=["place", "slice", "mask"])
 
 
 def learn(docs: DataFrame) -> Filters:
     """Filters from docs(text, lang); rows with a null or empty text or a null lang teach nothing."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and length(text) > 0")
     counted = written(rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language
-    shares = counted.join(F.broadcast(totals), "lang").select("gram", F.struct("lang", (F.col("n") / F.col("total")).alias("share")).alias("s"))
-    by_gram = shares.groupBy("gram").agg(F.collect_list("s").alias("s")).withColumn("top", F.array_max(F.transform("s", lambda x: x["share"])))
-    owners = by_gram.select("gram", F.transform(F.filter("s", lambda x: x["share"] >= SHARE * F.col("top")), lambda x: x["lang"]).alias("langs"))
-    langs = sorted(r.lang for r in totals.select("lang").collect())
-    number, owned = {x: k for k, x in enumerate(langs)}, [[] for _ in langs]
-    for row in owners.collect():  # at most 2 ** SPACE rows
-        for lang in row.langs:
-            owned[number[lang]].append(row.gram)
-    return Filters.of(langs, [np.array(sorted(x), np.int64) for x in owned])
+    totals = sorted((r.lang, r.total) for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect())  # a row per language
+    if not totals:
+        return Filters()
+    numbered = F.broadcast(spark.createDataFrame([(x, k, n) for k, (x, n) in enumerate(totals)], "lang string, number long, total long"))
+    shares = counted.join(numbered, "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= LEAST)
+    by_gram = shares.groupBy("gram").agg(F.collect_list(F.struct("number", "share")).alias("s"))  # an entry per language
+    owners = by_gram.select("gram", F.explode(F.filter("s", lambda x: x["share"] >= SHARE * F.array_max(F.transform("s", lambda y: y["share"])))).alias("s")).select("gram", "s.number")
+    words = owners.mapInArrow(_bits, "place long, slice long, mask long").groupBy("slice", "place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    columns = [words.column(c).to_numpy() for c in ("slice", "place", "mask")]
+    held = [(columns[1][columns[0] == k], columns[2][columns[0] == k].view(np.uint64)) for k in range(-(-len(totals) // 64))]
+    return Filters.of([x for x, _ in totals], held)
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:

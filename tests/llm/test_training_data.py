@@ -246,9 +246,35 @@ def test_language(spark):
 
 
 def test_filters_contain_what_they_own():
-    filters = language.Filters.of(["a", "b"], [np.array([1, 2]), np.array([3])])
-    masks = filters.masks(np.array([1, 2, 3, 99]))[0]
-    assert [int(m) for m in masks] == [1, 1, 2, 0]
+    known, other = (np.arange(k, 1 << 40, 1 << 30, dtype=np.uint64) for k in (1, 2))
+    words = [(np.concatenate(list(language.places(x))), np.full(4 * len(x), 1 << bit, np.uint64)) for bit, x in enumerate((known, other))]
+    filters = language.Filters.of(["a", "b"], [tuple(np.concatenate(x) for x in zip(*words, strict=True))])
+    assert (filters.masks(known)[0] & np.uint64(1)).all() and (filters.masks(other)[0] & np.uint64(2)).all()
+    assert (filters.masks(known)[0] & np.uint64(2)).sum() < 10 and (filters.false_rate < 1e-6).all()
+
+
+def plain_grams(text: str) -> list[str]:
+    letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    letters = f" {letters} " if letters else ""
+    return [letters[k : k + n] for n in language.ORDERS for k in range(len(letters) - n + 1)]
+
+
+def test_languages_equal_exact_sets(spark, monkeypatch):
+    """Against sets of n-grams without filters, on whole texts."""
+    monkeypatch.setattr(language, "PIECE", 7)
+    rng = random.Random(27)
+    parts = {"xx": ["tion", "ing", "the"], "yy": ["ung", "sch", "über", "the"], "zz": ["ción", "que", "ing"]}
+    rows = [(k, " ".join("".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))), x) for k, x in enumerate(rng.choice(list(parts)) for _ in range(150))]
+    counts = {x: Counter() for x in parts}
+    for k, text, x in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            counts[x].update(plain_grams(text))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    owned = {x: {g for g, s in share[x].items() if s >= language.SHARE * max(share[y].get(g, 0) for y in share)} for x in share}
+    for r in language.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        found = plain_grams(rows[r.doc_id][1])
+        part = {x: sum(g in owned[x] for g in found) / len(found) for x in sorted(owned)}
+        assert r.lang_pred == max(part, key=part.get) and r.score == pytest.approx(part[r.lang_pred] / sum(part.values()), abs=1e-3)
 
 
 # --- 7: near duplicates
