@@ -223,10 +223,26 @@ def test_shards(spark):
     assert sharding.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shards_equal_one_sorted_list(spark):
+    """All rows sorted in one list and cut by their middles, against the sampled ranges."""
+    rng = random.Random(26)
+    rows = [(k, "copy of a text" if k % 3 == 0 else prose(rng, rng.randint(0, 60))) for k in range(700)] + [(1000, None), (None, "x"), (1001, prose(rng, 5000))]
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    placed = sorted((number(t or ""), number("" if i is None else str(i)), i, len((t or "").encode()) + 1) for i, t in rows)
+    total, before, expected, slots = sum(x[3] for x in placed), 0, {}, Counter()
+    for _, _, i, size in placed:
+        shard = min(7, (2 * before + size) * 8 // (2 * total))
+        expected[i] = (shard, slots[shard])
+        slots[shard] += 1
+        before += size
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in out} == expected
+
+
 def test_overfull_ranges_are_subdivided(spark):
-    rows = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN 7L ELSE xxhash64(id) END AS key", "xxhash64(id) AS sub", "10L AS size")
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN 7L ELSE xxhash64(id) END AS key", "CASE WHEN id % 4 = 0 THEN 7L ELSE xxhash64(id) END AS sub", "xxhash64(id) AS salt", "10L AS size")
     splits = sharding.splitters(rows, 40_000, 64)
-    sizes = rows.groupBy(sharding._range_of(rows.key, rows.sub, splits)).sum("size").collect()
+    sizes = rows.groupBy(sharding._range_of(splits)).sum("size").collect()
     assert max(r[1] for r in sizes) <= 2 * 40_000 // 64
 
 
