@@ -139,9 +139,12 @@ def test_secrets_with_one_surrogate_part(spark, monkeypatch):
     ('<div class="sidebar-right"><main><header><h1>H</h1></header><p>y</p><aside>z</aside></main></div>', "H y"),
     ("<script>if (a<b) '</p>'</script>plain < text <!-- no --> &lt;", "plain < text <"),
     ("", ""), ("<p ", ""),
+    ("<div>" * 30 + "<nav>MENU</nav><article>Body", "Body"), ("<div>" * 5000 + "<article>Body", "Body"),
+    (f'<div class="{" ".join(f"c{chr(97 + k % 26) * 5}{chr(97 + k // 26)}" for k in range(60))} sidebar">SIDE</div><article>Body</article>', "Body"),
+    ("<article><math>x</math> <object>y</object> <canvas>z</canvas></article>", "x y z"),
 ])
 def test_main_text(page, text):
-    assert html_extract.main_text(page, frozenset(), {}) == text
+    assert html_extract.main_text(page, []) == text
 
 
 def test_wrappers_find_templates(spark):
@@ -151,6 +154,57 @@ def test_wrappers_find_templates(spark):
     assert out[3] == "Text 3 is long is long is long" and out[6] == out[7] == "" and out[8] == "Same words everywhere"
 
 
+def page_of(*tags: str) -> list:
+    """A stream of blocks (path by name, text after a colon or as the name)."""
+    return [(zlib.crc32(x.partition(":")[0].encode()), x.partition(":")[0], "other", 0, x.partition(":")[2] or x) for x in tags]
+
+
+@pytest.mark.parametrize(("pages", "expected"), [
+    ([["a", "b:1"], ["a", "b:2"]], "a:text b:#text"),
+    ([["a", "b", "c"], ["a", "c"]], "a:text b:text? c:text"),
+    ([["a", "b:1", "b:2", "b:3", "c"], ["a", "b:4", "c"]], "a:text b:#text+ c:text"),
+    ([["a", "h:1", "p:1", "h:2", "p:2", "z"], ["a", "h:3", "p:3", "z"]], "a:text (h:#text p:#text)+ z:text"),
+    ([["a", "z"], ["a", "h:1", "p:1", "h:2", "p:2", "z"]], "a:text (h:#text p:#text)* z:text"),
+    ([["a", "x", "b"], ["a", "y", "b"]], "a:text x:text? y:text? b:text"),
+    ([["p:1", "u", "p:f"], ["p:2", "p:3", "u", "p:f"]], "p:#text+ u:text p:text"),
+])
+def test_alignment(pages, expected):
+    found = html_extract.page_items(page_of(*pages[0]))
+    for page in pages[1:]:
+        found = html_extract.align(found, html_extract.page_items(page_of(*page)))
+    assert html_extract.expression(found) == expected
+
+
+def test_wrapper_accepts_its_pages():
+    """Every page of a small host reads as a word of the inferred expression, whatever the order and folds of alignment."""
+    rng = random.Random(25)
+
+    def pattern(items: list) -> str:
+        return "".join(f"(?:{pattern(x[3]) if isinstance(x[3][0], list) else f'{x[0]},'})" + ("", "?", "+", "*")[x[1]] for x in items)
+
+    for _ in range(60):
+        pages = [page_of(*("nav", *(rng.choice(["h", "p", "u"]) + f":{rng.random()}" for _ in range(rng.randint(0, 7))), "foot")) for _ in range(rng.randint(2, 6))]
+        half = len(pages) // 2 or 1
+        parts = []
+        for some in (pages[:half], pages[half:]):
+            found = None
+            for page in some:
+                items = html_extract.page_items(page)
+                found = items if found is None else html_extract.align(found, items)
+            parts += [found] if found else []
+        whole = parts[0] if len(parts) == 1 else html_extract.align(*parts)
+        for page in pages:
+            assert re.fullmatch(pattern(whole), "".join(f"{x[0]}," for x in page)), html_extract.expression(whole)
+
+
+def test_wrapper_decides_by_place(spark):
+    """Paths are equal; what stands before and after the list is told apart by the alignment alone."""
+    rng = random.Random(24)
+    pages = [(k, "http://h.example/", f"<div><p>{prose(rng, 5)} {k}</p><ul><li>{prose(rng, 2)} {k}</ul><p>All prices include tax</p></div>") for k in range(9)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(out[k] == " ".join(" ".join(re.sub("<[^>]*>", " ", page).split()).split()[:-4]) for k, _, page in pages)
+
+
 # --- 4: perplexity rules
 
 
