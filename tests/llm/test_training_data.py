@@ -227,24 +227,44 @@ def test_base_rules():
         assert perplexity.base(np.frombuffer(text.encode(), np.uint8)) == base(text)
 
 
-def test_kneser_ney_sums_to_one_and_matches_plain_form():
-    text = "the cat sat on the mat and the rat sat on the cat " * 3
-    packed = perplexity.grams(np.frombuffer(text.encode(), np.uint8))
-    keys, counts = np.unique(packed, return_counts=True)
-    model = perplexity.kneser_ney(np.zeros(len(keys), np.int64), keys, counts, {"en": 0})
-    table = model.table(0)
-    for context in (0, int(packed[9] >> 5), 12345):
-        assert np.exp(table[context << 5 : (context + 1) << 5].astype(float)).sum() == pytest.approx(1, abs=1e-4)
-    # the lowest order: distinct left neighbours, discounted, plus the uniform share
-    bigrams = {(int(g) >> 5 & 31, int(g) & 31) for g in keys}
-    follows = Counter(b for _, b in bigrams)
-    n1, n2, n3, n4 = (sum(c == k for c in follows.values()) for k in (1, 2, 3, 4))
-    y = n1 / max(n1 + 2 * n2, 1)
-    cut = [min(max(c - (c + 1) * y * b / max(a, 1), 0.1), c - 0.1) for c, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    freed = sum(cut[min(c, 3) - 1] for c in follows.values()) / len(bigrams)
-    for symbol, c in follows.items():
-        at = np.searchsorted(model.grams[0][0], symbol)
-        assert np.exp(model.grams[0][1][at]) == pytest.approx((c - cut[min(c, 3) - 1]) / len(bigrams) + freed / 32, rel=1e-4)
+def plain_model(texts: list[str]) -> tuple[dict[str, float], list[list[str]]]:
+    """Modified Kneser-Ney by dictionaries: the probability of every n-gram of the texts, and each text's n-grams."""
+    n = perplexity.ORDER
+    streams = ["\0" * (n - 1) + re.sub(r"[\x00 \t-\r]+", " ", t) for t in texts]
+    found = [[s[k : k + n] for k in range(len(s) - n + 1)] for s in streams]
+    levels = {n: Counter(g for x in found for g in x)}
+    for k in range(n, 1, -1):
+        levels[k - 1] = Counter(g[1:] for g in levels[k])
+    below = dict.fromkeys(levels[1], 1 / (len(levels[1]) + 1))
+    lower: dict[str, float] = {}
+    for k in range(1, n + 1):
+        n1, n2, n3, n4 = (sum(c == x for c in levels[k].values()) for x in (1, 2, 3, 4))
+        y = n1 / max(n1 + 2 * n2, 1)
+        cut = [min(max(c - (c + 1) * y * b / max(a, 1), 0.1), c - 0.1) for c, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        total, freed = Counter(), Counter()
+        for g, c in levels[k].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += cut[min(c, 3) - 1]
+        lower = {g: (c - cut[min(c, 3) - 1]) / total[g[:-1]] + freed[g[:-1]] / total[g[:-1]] * (below[g] if k == 1 else lower[g[1:]]) for g, c in levels[k].items()}
+    return lower, found
+
+
+def test_perplexities_equal_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "PIECE", 40)
+    monkeypatch.setattr(perplexity, "LOCAL", 12)
+    monkeypatch.setattr(perplexity, "BUCKET", 400)
+    rng = random.Random(23)
+    parts = {"xx": ["the ", "cat", "\n\n", "é", "日本", "\x00", "🎉"], None: ["und ", "der", "\t", "ß"]}
+    rows = [(k, "".join(rng.choice(parts[x]) for _ in range(rng.randint(0, 40))), x) for k, x in enumerate(rng.choice(list(parts)) for _ in range(60))]
+    rows += [(100, "".join(map(chr, range(0x4E00, 0x4E00 + 9000))), "zz"), (101, None, "xx"), (101, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = {r.doc_id: r for r in perplexity.measured(docs).collect()}
+    for lang in ("xx", None, "zz"):
+        some = [(i, t or "") for i, t, x in rows if x == lang]
+        model, found = plain_model([t for _, t in some])
+        for (i, _), grams in zip(some, found, strict=True):
+            assert out[i].n_chars == len(grams)
+            assert out[i].log_perplexity == (pytest.approx(-sum(map(np.log, map(model.get, grams))) / len(grams), rel=1e-6) if grams else None)
 
 
 def test_perplexity_rules(spark):
