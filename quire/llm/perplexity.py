@@ -5,7 +5,7 @@ Spark over all texts of the corpus, each language on its own (a null lang is the
 no word of a language that compounds or of invented prose. Counts, discounts and probabilities are tables that grow with the
 corpus and never meet in one place: an n-gram is a pair of longs, HIGH with all but its last three code points and LOW with these.
 
-Scoring: texts are dealt to buckets of about BUCKET bytes. A bucket asks for the distinct n-grams of its texts, Spark joins them with the
+Scoring: texts are dealt, in packed runs of rows, to buckets of about BUCKET bytes. A bucket asks for the distinct n-grams of its texts, Spark joins them with the
 model, and what comes back is the bucket's part of the model: sorted arrays of hashes with log probabilities, in which its texts are
 looked up. So a task holds no more of the model than its own texts use, at any size of the corpus, and nothing is broadcast.
 
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from quire.llm._core import WHITE, mixed, parts, small_batches, utf8, windows, word_hashes, written
 
-ORDER = 5
+ORDER = 4
 #: Reach of a band below and above the median in robust standard deviations; added deviation for texts of few characters; least documents.
-BELOW, ABOVE, SCATTER, LEAST = 5.0, 3.0, 0.9, 20
+BELOW, ABOVE, SCATTER, LEAST = 4.0, 3.5, 0.9, 20
 #: Characters of a section of a text, and the share of its plainest sections that may be less odd than the band.
 SECTION, PLAIN = 128, 0.2
-#: Bytes of text in a bucket; characters looked at together; n-grams of a partition held before they are handed on.
-BUCKET, PIECE, HELD = 32 << 20, 1 << 19, 1 << 21
+#: Bytes of text in a bucket, and of the runs of rows that go to one; characters looked at together; n-grams of a partition held before
+#: they are handed on.
+BUCKET, RUN, PIECE, HELD = 64 << 20, 1 << 20, 1 << 19, 1 << 21
 #: Bits of a code point, and of its number among those of one piece.
 POINT, LOCAL = 21, 12
 _ONE = (1 << POINT) - 1
@@ -143,6 +144,34 @@ def pieces(texts: Iterator[str]) -> Iterator[list[str]]:
         yield held
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket and run, a packed batch of (lang, text, doc_id), of the rows (lang, text, doc_id, number)."""
+    for batch in batches:
+        for part in parts(batch, 1, RUN):
+            bucket = int(mixed(part.column(3)[:1].to_numpy().view(np.uint64))[0] % np.uint64(buckets))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.select([0, 1, 2]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part.select([0, 1, 2]))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "run"])
+
+
+def _unpacked_runs(column: pa.ChunkedArray | pa.Array) -> Iterator[pa.RecordBatch]:
+    for run in column:
+        yield from pa.ipc.open_stream(run.as_buffer())
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _counted, of the rows (bucket, run)."""
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for part in pa.ipc.open_stream(run.as_buffer()):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), *part.columns[:2]], names=["bucket", "lang", "text"])
+
+    return _counted(rows())
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, lang, high, low and n of the rows (bucket, lang, text)."""
     found = _Found()
@@ -156,7 +185,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in parts(batch, 2):
             by: dict[tuple, list[str]] = {}
-            for bucket, lang, text in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
+            for bucket, lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 by.setdefault((bucket, lang), []).append(text or "")
             for name, texts in by.items():
                 for some in pieces(iter(texts)):
@@ -295,7 +324,8 @@ def base(data: np.ndarray) -> tuple[int, int, int, int, int]:
 NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "plain_log_perplexity", "n_chars"]
 
 
-def _scored(texts: pa.Table, model: pa.Table) -> pa.Table:
+def _scored(runs: pa.Table, model: pa.Table) -> pa.Table:
+    texts = pa.Table.from_batches(list(_unpacked_runs(runs.column("run"))))
     store = Store(model.column("lang").to_pylist(), *(model.column(c).to_numpy() for c in ("high", "low", "log_p")))
     langs = texts.column("lang").to_pylist()
     scores = np.zeros((3, len(langs)))
@@ -322,9 +352,9 @@ def measured(docs: DataFrame) -> DataFrame:
     counts = docs.select(F.lit(0).alias("bucket"), lang, text).mapInArrow(_counted, _COUNTED).groupBy("lang", "high", "low").agg(F.sum("n").alias("c"))
     model = kneser_ney(written(counts))
     buckets = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // BUCKET)
-    bucket = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
-    dealt = docs.select(bucket.alias("bucket"), lang, text, "doc_id").repartition("bucket")
-    asked = dealt.mapInArrow(_counted, _COUNTED)  # of all columns, so that both sides read one exchange
+    rows = docs.select(lang, text, "doc_id", F.monotonically_increasing_id().alias("number"))
+    dealt = rows.mapInArrow(lambda batches: _dealt(batches, buckets), "bucket int, run binary").repartition("bucket")
+    asked = dealt.mapInArrow(_asked, _COUNTED)  # of all columns, so that both sides read one exchange
     parts_ = asked.select("bucket", "lang", "high", "low").join(model.select("lang", "high", "low", F.log("p").alias("log_p")), ["lang", "high", "low"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in NAMES[2:7]) + ", log_perplexity double, plain_log_perplexity double, n_chars long"
