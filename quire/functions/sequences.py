@@ -108,6 +108,20 @@ def t_test(t: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(x, k - 1) if pd.notna(x) and k > 1 else None for x, k in zip(t, n, strict=True)], dtype="float64")
 
 
+def _quantile(level: float, freedom: float) -> float:
+    """The t that the given share of values lies within, by halving."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (low, middle) if 1 - t_two_sided(middle, freedom) > level else (middle, high)
+    return (low + high) / 2
+
+
+@F.pandas_udf(T.DoubleType())
+def t_quantile(level: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([_quantile(p, k - 1) if pd.notna(k) and k > 1 else None for p, k in zip(level, n, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def z_test(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else normal_two_sided(x) for x in z], dtype="float64")

@@ -219,3 +219,64 @@ def brand(path: Column) -> Column:
     low = F.lower(path)
     folder = F.regexp_extract(low, r"([^/]*)/[^/]*$", 1)
     return F.coalesce(*(F.when(low.rlike(p), b) for p, b in BRANDS), *(F.when(folder.rlike(p.replace(r"[_\-\s]", "")), b) for p, b in BRANDS))
+
+
+# Phrases that tell of a continuation; words of a credit line; words of a caption.
+CONTINUATION_PHRASES = ["continued on page", "see page", "turn to page", "continued from", "from page"]
+CREDIT_WORDS = ["by ", "photo by", "image by"]
+CAPTION_WORDS = ["caption:", "figure", "table"]
+
+
+def _any_of(text: Column, phrases: list[str]) -> Column:
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | text.contains(phrase)
+    return found
+
+
+def names_continuation(a: Column, b: Column) -> Column:
+    """Whether either text has a phrase that tells of a continuation; false if one is empty."""
+    some = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
+    return some & (_any_of(F.lower(F.coalesce(a, F.lit(""))), CONTINUATION_PHRASES) | _any_of(F.lower(F.coalesce(b, F.lit(""))), CONTINUATION_PHRASES))
+
+
+def ocr_block_type(text: Column) -> Column:
+    """Type of a recognised block by its length and words: attribution, title, heading, caption or paragraph."""
+    low, few = F.lower(F.trim(text)), F.size(words(text)) <= 10
+    brief = F.when(_any_of(low, CREDIT_WORDS), "attribution").when(few, "title").otherwise("heading")
+    return F.when(F.length(text) < 100, brief).when(_any_of(low, CAPTION_WORDS), "caption").otherwise("paragraph")
+
+
+def initial(part: Column) -> Column:
+    """A middle name; a single letter, with or without its dot, as a capital with a dot."""
+    return F.when((F.length(part) == 1) | ((F.length(part) == 2) & part.endswith(".")), F.concat(F.upper(F.left(part, F.lit(1))), F.lit("."))).otherwise(part)
+
+
+def _capital(part: Column) -> Column:
+    return F.concat(F.upper(F.left(part, F.lit(1))), F.lower(F.substring(part, 2, 1 << 30)))
+
+
+def capitalised(part: Column) -> Column:
+    """A part of a name in its usual case: each side of a hyphen, or else of an apostrophe, and what follows two letters of mc or mac."""
+    joined = lambda sign: F.array_join(F.transform(F.split(part, sign), _capital), sign)
+    scottish = F.lower(part).startswith("mc") | F.lower(part).startswith("mac")
+    gaelic = F.concat(_capital(F.left(part, F.lit(2))), _capital(F.substring(part, 3, 1 << 30)))
+    return F.when(part.contains("-"), joined("-")).when(part.contains("'"), joined("'")).when(scottish & (F.length(part) > 2), gaelic).otherwise(_capital(part))
+
+
+def full_name(prefix: Column, given: Column, middle: Column, family: Column, suffix: Column) -> Column:
+    """The parts that are not empty, in natural order."""
+    return F.array_join(F.filter(F.array(prefix, given, middle, family, suffix), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+
+
+def last_first(prefix: Column, given: Column, middle: Column, family: Column, suffix: Column) -> Column:
+    """The family name before the other parts; without one, the full name."""
+    rest = full_name(prefix, given, middle, F.lit(""), suffix)
+    return F.when(F.coalesce(family, F.lit("")) == "", full_name(prefix, given, middle, family, suffix)).when(rest == "", family).otherwise(F.concat(family, F.lit(", "), rest))
+
+
+def name_confidence(original: Column, given: Column, family: Column, titled: Column) -> Column:
+    """How sure a parsed name is: less if incomplete, very short or without parts, more if complete with a prefix or suffix."""
+    complete = (given != "") & (family != "")
+    base = F.when(complete, 1.0).otherwise(0.7) * F.when(F.length(F.trim(original)) < 3, 0.6).otherwise(1.0) * F.when((given == "") & (family == ""), 0.3).otherwise(1.0)
+    return F.when(complete & titled, F.least(F.lit(1.0), base * 1.1)).otherwise(base)

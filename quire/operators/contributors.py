@@ -160,3 +160,21 @@ def split_authors(byline: Column) -> Column:
 def accepted(people: DataFrame, extraction: float = 0.8, role: float = 0.7, name: float = 0.8) -> DataFrame:
     """people(id, name, confidence, role_confidence, name_confidence) that reach all three thresholds."""
     return people.filter((F.col("confidence") >= extraction) & (F.col("role_confidence") >= role) & (F.col("name_confidence") >= name))
+
+
+def combined(matches: DataFrame) -> DataFrame:
+    """matches(id, start, stop, method, confidence, name) of patterns and of a tagger: where two share over half of the shorter one, the
+    one of the better method stays (pattern before ner), then the surer, then the earlier; taken from the best match on, so that the
+    result doesn't depend on the order of the input."""
+    rank = F.when(F.col("method") == "pattern", 0).otherwise(1)
+    fields = F.struct(rank.alias("rank"), (-F.col("confidence")).alias("unsure"), "start", "stop", "name", "method", "confidence")
+    best_first = F.array_sort(F.collect_list(fields))
+
+    def shared(x: Column, y: Column) -> Column:
+        length = F.least(x["stop"] - x["start"], y["stop"] - y["start"])
+        return F.least(x["stop"], y["stop"]) - F.greatest(x["start"], y["start"]) > 0.5 * length
+
+    take = lambda kept, x: F.when(F.exists(kept, lambda y: shared(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
+    rows = matches.groupBy("id").agg(best_first.alias("all"))
+    rows = rows.select("id", F.explode(F.aggregate("all", F.slice("all", 1, 0), take)).alias("m"))
+    return rows.select("id", "m.start", "m.stop", "m.method", "m.confidence", "m.name")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import sequences as Q
+
 #: Weights of the fields of an article, and thresholds of a drop in accuracy.
 WEIGHTS = {"title": 0.30, "body": 0.40, "contributors": 0.20, "media": 0.10}
 DRIFT, ALERT, TUNE = 0.05, 0.10, 0.15
@@ -112,14 +114,25 @@ def drift_summary(detections: DataFrame, days: int = 7) -> DataFrame:
 
 def accuracy_trend(evaluations: DataFrame) -> DataFrame:
     """Per metric: last, mean, least and greatest accuracy, and whether the last seven beat the earlier ones by 0.01."""
-    rn = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("ts"), F.desc("event_id")))
-    rows = evaluations.withColumn("rn", rn)
-    late, early = F.avg(F.when(F.col("rn") <= 7, F.col("accuracy"))), F.avg(F.when(F.col("rn") > 7, F.col("accuracy")))
-    out = rows.groupBy("metric").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("accuracy"))).alias("current"), F.avg("accuracy").alias("average"), F.min("accuracy").alias("least"), F.max("accuracy").alias("most"), late.alias("recent"), early.alias("earlier")
-    )
-    earlier = F.coalesce("earlier", "average")
-    return out.withColumn("trend", F.when(F.col("recent") > earlier + 0.01, "improving").when(F.col("recent") < earlier - 0.01, "declining").otherwise("stable"))
+    newest = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("ts"), F.desc("event_id")))
+    top = evaluations.select("metric", "accuracy", newest.alias("rn")).filter("rn <= 7")  # limited before the shuffle
+    late = top.groupBy("metric").agg(F.max(F.when(F.col("rn") == 1, F.col("accuracy"))).alias("current"), F.avg("accuracy").alias("recent"), F.sum("accuracy").alias("late"), F.count("*").alias("of_late"))
+    all_ = evaluations.groupBy("metric").agg(F.avg("accuracy").alias("average"), F.min("accuracy").alias("least"), F.max("accuracy").alias("most"), F.sum("accuracy").alias("sum"), F.count("*").alias("n"))
+    earlier = F.when(F.col("n") > F.col("of_late"), (F.col("sum") - F.col("late")) / (F.col("n") - F.col("of_late")))
+    out = all_.join(late, "metric").select("metric", "current", "average", "least", "most", "recent", earlier.alias("earlier"))
+    usual = F.coalesce("earlier", "average")
+    return out.withColumn("trend", F.when(F.col("recent") > usual + 0.01, "improving").when(F.col("recent") < usual - 0.01, "declining").otherwise("stable"))
+
+
+def window_significance(evaluations: DataFrame, level: float = 0.95) -> DataFrame:
+    """Per metric, over its newest window: mean, t statistic against the newest value, two-sided p value, whether that is significant, and
+    the confidence interval of the mean; nulls where the window has no spread."""
+    window = rolling_window(evaluations)
+    stats = window.groupBy("metric").agg(F.max(F.when(F.col("rn") == 1, F.col("accuracy"))).alias("current"), F.count("*").alias("samples"), F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("spread"))
+    error = F.when(F.col("spread") > 0, F.col("spread") / F.sqrt("samples"))
+    stats = stats.withColumn("t_stat", (F.col("mean") - F.col("current")) / error)
+    stats = stats.withColumns({"p_value": Q.t_test("t_stat", "samples"), "reach": Q.t_quantile(F.lit(level), "samples") * error})
+    return stats.select("metric", "samples", "mean", "t_stat", "p_value", (F.col("p_value") < 1 - level).alias("significant"), (F.col("mean") - F.col("reach")).alias("low"), (F.col("mean") + F.col("reach")).alias("high"))
 
 
 def accuracy_history(evaluations: DataFrame, metric: str, days: int, brand: int | None = None) -> DataFrame:

@@ -176,3 +176,15 @@ def full_text(components_: DataFrame) -> DataFrame:
     piece = F.when(F.col("type").isin("title", "subtitle", "heading"), F.concat(F.lit("\n\n"), text, F.lit("\n"))).when(F.col("type") == "byline", F.concat(text, F.lit("\n"))).otherwise(F.concat(text, F.lit("\n\n")))
     ordered = F.array_sort(F.collect_list(F.struct("place", piece.alias("piece"))))
     return components_.filter(text != "").groupBy("doc_id", "article").agg(F.trim(F.regexp_replace(F.array_join(F.transform(ordered, lambda x: x["piece"]), ""), r"^\s+|\s+$", "")).alias("full_text"))
+
+
+def nodes_of(nodes: DataFrame, kind: str | None = None, page: int | None = None) -> DataFrame:
+    """The nodes of a type, of a page, or both."""
+    if kind is not None:
+        nodes = nodes.filter(F.col("type") == kind)
+    return nodes if page is None else nodes.filter(F.col("page") == page)
+
+
+def edges_of(edges: DataFrame, kind: str) -> DataFrame:
+    """The edges of a type."""
+    return edges.filter(F.col("edge_type") == kind)

@@ -56,3 +56,11 @@ def quarantined(steps: DataFrame, accuracies: DataFrame, least: float = 0.999) -
     """Jobs whose accuracy is too low or that failed in a critical stage."""
     failed = steps.filter(F.col("stage").isin("layout_analysis", "article_reconstruction") & (F.col("status") == "failed")).select("job_id")
     return accuracies.filter(F.col("accuracy") < least).select("job_id").union(failed).distinct()
+
+
+def rolling_limit(runs: DataFrame, as_of: str, most: int = 1) -> DataFrame:
+    """runs(brand, created_at): per brand, runs within the day before as_of, whether another is allowed, and from when on."""
+    now = F.to_timestamp_ntz(F.lit(as_of))
+    recent = (F.col("created_at") > now - F.expr("INTERVAL 1 DAY")) & (F.col("created_at") <= now)
+    out = runs.groupBy("brand").agg(F.count_if(recent).alias("runs"), F.max(F.when(recent, F.col("created_at"))).alias("last"))
+    return out.select("brand", "runs", (F.col("runs") < most).alias("allowed"), F.when(F.col("runs") >= most, F.col("last") + F.expr("INTERVAL 1 DAY")).alias("next_allowed"))

@@ -114,3 +114,44 @@ def hard_coded(configs: DataFrame) -> DataFrame:
     """configs(path, json): numbers inside a JSON document by their path, through the variant type."""
     query = "SELECT path, key, to_json(value) AS value FROM {configs}, LATERAL variant_explode(parse_json(json)) WHERE schema_of_variant(value) RLIKE 'BIGINT|DECIMAL|DOUBLE'"
     return configs.sparkSession.sql(query, configs=configs)
+
+
+def document_ocr_quality(pages: DataFrame, digital: float = 0.001, scanned: float = 0.02) -> DataFrame:
+    """pages(doc_id, page, confidence, characters, is_digital): confidence by characters, an error rate estimated from it, and whether
+    that meets the document's target; documents without characters are left with nulls."""
+    out = pages.groupBy("doc_id").agg(
+        (F.sum(F.col("confidence") * F.col("characters")) / F.nullif(F.sum("characters"), F.lit(0))).alias("mean"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.bool_and("is_digital").alias("is_digital")
+    )
+    rate = F.greatest(F.lit(0.0), (1 - F.col("mean")) * 0.1)
+    return out.select("doc_id", "mean", "least", "most", rate.alias("wer"), (rate <= F.when(F.col("is_digital"), digital).otherwise(scanned)).alias("meets_target"), (F.col("mean") > 0.9).alias("sure"))
+
+
+def role_statistics(matches: DataFrame, least: float = 0.7) -> DataFrame:
+    """matches(role, confidence): matches, mean confidence and share of sure ones, per role."""
+    return matches.groupBy("role").agg(F.count("*").alias("matches"), F.avg("confidence").alias("mean"), F.avg((F.col("confidence") >= least).cast("double")).alias("sure_rate"))
+
+
+def layout_accuracy(blocks: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """blocks(doc_id, confidence): spread of a document's confidences, shares of sure ones, and the accuracy estimated from these."""
+    rate = lambda test: F.avg(test.cast("double"))
+    c = F.col("confidence")
+    out = blocks.groupBy("doc_id").agg(
+        F.avg(c).alias("mean"), F.stddev_pop(c).alias("spread"), F.min(c).alias("least"), F.max(c).alias("most"), F.median(c).alias("middle"), rate(c >= threshold).alias("sure_rate"),
+        F.count_if(c < 0.8).alias("unsure"), F.least(F.lit(0.999), 0.8 + 0.2 * rate(c >= 0.9)).alias("estimated"),
+    )
+    return out
+
+
+def compared_methods(results: DataFrame) -> DataFrame:
+    """results(id, method, wer): per id the method of the least rate (the first by name among equals) and what to do about it."""
+    best = F.min(F.struct("wer", "method"))
+    out = results.groupBy("id").agg(F.count("*").alias("methods"), best.alias("b"), F.var_pop("wer").alias("spread"))
+    return out.select("id", "methods", F.col("b.method").alias("best_method"), F.col("b.wer").alias("best_wer"), (F.col("b.wer") > 0.05).alias("preprocess"), (F.col("spread") > 0.01).alias("ensemble"))
+
+
+def understanding(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per document: blocks(doc_id, type, confidence) and edges(doc_id), their number, mean confidence, types told, and edges per block."""
+    b = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.avg("confidence").alias("confidence"), F.count_distinct("type").alias("types"), F.avg((F.col("type") != "unknown").cast("double")).alias("told"))
+    e = edges.groupBy("doc_id").agg(F.count("*").alias("edges"))
+    out = b.join(e, "doc_id", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    return out.withColumn("density", F.col("edges") / F.col("blocks"))

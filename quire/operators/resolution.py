@@ -151,3 +151,11 @@ def grouped_bodies(blocks: DataFrame, distance: float = 20.0) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "page", "line_no", "group"])
 
     return blocks.select("doc_id", "page", "line_no", "x0", "y0", "x1", "y1", "type").groupBy("doc_id", "page").applyInPandas(pair, "doc_id long, page int, line_no int, group int")
+
+
+def layout_pattern(matches: DataFrame) -> DataFrame:
+    """matches(conflict, image_id, caption_id): how each conflict group is to be settled by its counts of images and captions."""
+    counts = matches.groupBy("conflict").agg(F.count_distinct("image_id").alias("images"), F.count_distinct("caption_id").alias("captions"))
+    i, c = F.col("images"), F.col("captions")
+    pattern = F.when((i > 1) & (c == 1), "shared_caption").when((i == 1) & (c > 1), "multiple_captions").when((i > 2) & (c > 1), "gallery").otherwise("confidence")
+    return counts.withColumn("pattern", pattern)

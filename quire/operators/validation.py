@@ -61,3 +61,36 @@ def complexity_counts(spark, total: int, shares: dict[str, float]) -> DataFrame:
     rest = floors.agg((F.lit(total) - F.sum("n")).alias("rest"))
     n = len(shares)
     return floors.crossJoin(F.broadcast(rest)).select("level", (F.col("n") + F.floor(F.col("rest") / n) + F.when(F.col("k") < F.col("rest") % n, 1).otherwise(0)).cast("int").alias("documents"))
+
+
+# Roles that a contributor may have.
+ROLES = ["author", "photographer", "illustrator", "editor", "correspondent"]
+
+
+def article_structure(articles: DataFrame) -> DataFrame:
+    """articles(id, first_page, last_page, titles, bodies, roles): counts of errors and warnings, and whether the article is valid."""
+    title = F.get("titles", F.lit(0))
+    count = lambda *tests: sum(F.when(t, 1).otherwise(0) for t in tests)
+    one = F.size("titles") == 1
+    errors = count(F.col("first_page") > F.col("last_page"), ~one, one & (F.trim(title) == ""), F.size("bodies") == 0)
+    blank = F.size(F.filter("bodies", lambda b: F.trim(b) == ""))
+    short = F.size(F.filter("bodies", lambda b: (F.trim(b) != "") & (F.length(b) < 50)))
+    odd = F.size(F.filter("roles", lambda r: ~r.isin(ROLES)))
+    warnings = count(F.col("last_page") - F.col("first_page") > 10, one & (F.length(title) > 300)) + blank + short + odd
+    out = articles.select("id", errors.cast("int").alias("errors"), warnings.cast("int").alias("warnings"))
+    return out.withColumn("valid", F.col("errors") == 0)
+
+
+def dataset_quality(results: DataFrame) -> DataFrame:
+    """results(errors, warnings, quality): mean of the qualities above 0, means of errors and warnings, files without either."""
+    return results.agg(
+        F.coalesce(F.avg(F.when(F.col("quality") > 0, F.col("quality"))), F.lit(0.0)).alias("quality"), F.avg("errors").alias("errors_per_file"), F.avg("warnings").alias("warnings_per_file"),
+        F.count_if(F.col("errors") == 0).alias("error_free"), F.count_if(F.col("warnings") == 0).alias("warning_free"),
+    )
+
+
+def annotation_consistency(blocks: DataFrame) -> DataFrame:
+    """blocks(doc_id, type, confidence string): per document and type, blocks and those whose confidence is no number of [0, 1]."""
+    value = F.try_to_number("confidence", F.lit("S9999.999999")).cast("double")
+    wrong = F.col("confidence").isNotNull() & F.coalesce(~value.between(0, 1), F.lit(True))
+    return blocks.groupBy("doc_id", F.coalesce("type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("blocks"), F.count_if(wrong).alias("confidence_issues"))

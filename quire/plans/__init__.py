@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES and the ORACLE_SQL of those that SQL can express."""
 
-from quire.plans import documents, evaluation, records, reports
+from quire.plans import evaluation, documents, records, reports, coverage
 
-MODULES = [evaluation, documents, records, reports]
+MODULES = [evaluation, documents, records, reports, coverage]

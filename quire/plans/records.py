@@ -108,7 +108,7 @@ _AT = "CAST(floor(epoch(ts)) AS BIGINT)"
 ORACLE_SQL = {
     "extraction_quality": oracle(
         "results",
-        "SELECT l_orderkey % 100 AS id, avg(c) AS mean, avg(CASE WHEN c >= 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share, CASE WHEN avg(c) >= 0.9::DOUBLE AND avg(CASE WHEN c >= 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.8::DOUBLE THEN 'high' WHEN avg(c) >= 0.7::DOUBLE AND avg(CASE WHEN c >= 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.6::DOUBLE THEN 'medium' ELSE 'low' END AS quality FROM (SELECT l_orderkey, round(1 - l_discount, 2) AS c FROM lineitem WHERE l_orderkey % 20 = 0) GROUP BY 1",
+        "SELECT l_orderkey % 100 AS id, avg(c) AS mean, avg(CASE WHEN c >= 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share, CASE WHEN avg(c) >= 0.9::DOUBLE AND avg(CASE WHEN c >= 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.8::DOUBLE THEN 'high' WHEN avg(c) >= 0.7::DOUBLE AND avg(CASE WHEN c >= 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.6::DOUBLE THEN 'medium' ELSE 'low' END AS quality FROM (SELECT l_orderkey, round(1 - l_discount, 2) AS c FROM lineitem) GROUP BY 1",
         "id ~mean ~share quality",
     ),
     "calibration": oracle("document_evaluations", f"SELECT event_id, 1 / (1 + exp(-{_LOGIT} / 1.5)) AS temperature, 1 / (1 + exp(-(1.2::DOUBLE * {_LOGIT} - 0.1::DOUBLE))) AS platt, least(1, greatest(0, {_A} * 1.1::DOUBLE - 0.05::DOUBLE)) AS adjusted FROM document_evaluations", "event_id ~temperature ~platt ~adjusted"),

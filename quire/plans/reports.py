@@ -44,14 +44,14 @@ S.SQL["connections"] = "connections AS (SELECT a.doc_id, a.node AS src, b.node A
 
 
 def _matches(s, d):
-    c = L.match_confidence(_candidates(s, d)).filter("rank <= 3")
+    c = L.match_confidence(_candidates(s, d))
     return c.select("doc_id", "image_id", F.col("line_no").cast("string").alias("caption_id"), "confidence", F.col("proximity").alias("spatial"), F.lit(0.5).alias("semantic"))
 
 
 def _articles(s, d):
     """Conversations as articles in pairs: the same opening makes a duplicate."""
     rows = S.table(s, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"), F.sort_array(F.collect_set("turn")).alias("nodes"))
-    return rows.select((F.col("conv_id") % 10).alias("doc_id"), F.col("conv_id").alias("article"), "title", "nodes")
+    return rows.select(F.floor(F.col("conv_id") / 10).cast("long").alias("doc_id"), F.col("conv_id").alias("article"), "title", "nodes")
 
 
 QUERIES = {
@@ -127,7 +127,7 @@ ORACLE_SQL = {
     ),
     "pair_quality": oracle(
         "blocks images candidates",
-        "SELECT image_id, CAST(line_no AS VARCHAR) AS caption_id, 0.4::DOUBLE * proximity + 0.4::DOUBLE * ((0.4::DOUBLE * proximity + 0.25::DOUBLE * 0.3::DOUBLE + 0.2::DOUBLE * layout + 0.15::DOUBLE * CASE WHEN competitors = 0 THEN 1.0::DOUBLE WHEN competitors <= 2 THEN 0.8::DOUBLE WHEN competitors <= 5 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) * (1 - 0.3::DOUBLE * least(1, competitors / 10))) + 0.2::DOUBLE * 0.4::DOUBLE AS quality FROM candidates WHERE rank <= 3",
+        "SELECT image_id, CAST(line_no AS VARCHAR) AS caption_id, 0.4::DOUBLE * proximity + 0.4::DOUBLE * ((0.4::DOUBLE * proximity + 0.25::DOUBLE * 0.3::DOUBLE + 0.2::DOUBLE * layout + 0.15::DOUBLE * CASE WHEN competitors = 0 THEN 1.0::DOUBLE WHEN competitors <= 2 THEN 0.8::DOUBLE WHEN competitors <= 5 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) * (1 - 0.3::DOUBLE * least(1, competitors / 10))) + 0.2::DOUBLE * 0.4::DOUBLE AS quality FROM candidates",
         "image_id caption_id ~quality",
     ),
     "hard_coded_values": "SELECT event_id AS path, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
@@ -145,7 +145,7 @@ ORACLE_SQL = {
     ),
     "name_statistics": oracle("results", "SELECT count(*) AS names, count(*) AS complete, 0::BIGINT AS suffixed, count(*) AS prefixed, 0.95::DOUBLE AS confidence FROM customer", "names complete suffixed prefixed ~confidence"),
     "conflict_groups": (
-        oracle("blocks images candidates", "SELECT doc_id, image_id, line_no FROM candidates WHERE rank <= 3", "doc_id image_id line_no").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+        oracle("blocks images candidates", "SELECT doc_id, image_id, line_no FROM candidates", "doc_id image_id line_no").replace("WITH ", "WITH RECURSIVE ", 1).replace(
             " SELECT doc_id, image_id, line_no FROM result",
             ", hop AS (SELECT DISTINCT a.image_id AS x, b.image_id AS y FROM result a JOIN result b ON a.doc_id = b.doc_id AND a.line_no = b.line_no), reach(x, y) AS (SELECT x, y FROM hop UNION SELECT r.x, h.y FROM reach r JOIN hop h ON h.x = r.y), conflict AS (SELECT x AS image_id, min(y) AS c FROM reach GROUP BY x) "
             "SELECT matches, count(*) AS conflicts FROM (SELECT c, count(*) AS matches FROM result JOIN conflict USING (image_id) GROUP BY c) GROUP BY matches",
