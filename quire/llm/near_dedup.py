@@ -48,6 +48,8 @@ LIKELY, EQUAL = 0.68, 0.65
 #: Sketches in a block of a large bucket, and partners tried per member and component in the first round; each round has
 #: sixteen times as many.
 BLOCK, TRIES = 2048, 64
+#: Pairs estimated together.
+PAIRS = 1024
 
 _SEEDS = mixed(np.arange(1, (REGISTERS + FINE) // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
@@ -107,7 +109,6 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The similarity that makes the registers' counts of greater, smaller and equal likeliest, given both set sizes."""
-    a, b = a.astype(np.int32), b.astype(np.int32)
     more, less = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
     same = a.shape[1] - more - less
     u = (n_a / (n_a + n_b))[:, None]
@@ -124,10 +125,11 @@ def likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, fine_a, fine_b, n_a, n_b) that are likely links."""
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "u1").reshape(-1, FINE) for k in (2, 3))
-            est = likelihood(x, y, *(batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (4, 5)))
-            yield batch.select([0, 1]).filter(pa.array(est >= LIKELY))
+        for k in range(0, batch.num_rows, PAIRS):
+            part = batch.slice(k, PAIRS)
+            x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), "u1").reshape(-1, FINE) for k in (2, 3))
+            est = likelihood(x, y, *(part.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (4, 5)))
+            yield part.select([0, 1]).filter(pa.array(est >= LIKELY))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
