@@ -33,7 +33,9 @@ from pyspark.sql import types as T
 from quire.llm._core import runs, small_batches, utf8
 
 #: Bytes in the transducer's buffer besides the lookahead, characters of text looked at together, and words remembered.
-BUFFER, WINDOW, REMEMBERED = 1 << 12, 1 << 16, 1 << 19
+BUFFER, WINDOW, REMEMBERED = 1 << 12, 1 << 16, 1 << 17
+#: Bytes of a word that is merged without a heap or a buffer.
+SHORT = 48
 _SPACE = r"\t-\r \x85\xa0  -     　"
 # The vocabulary's pattern for words, with Unicode white space spelt out, and its printable stand-ins of bytes.
 _WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -54,6 +56,11 @@ class Codec:
         self.bytes = {str(i): t for t, i in self.ids.items()} | {str(i): t.encode() for t, i in self.added.items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        # for short words: the rank of a pair of ids, what each rank makes, and the ids of single bytes
+        self.size = max(self.ids.values(), default=0) + 1
+        self.rank_of = {self.ids[a] * self.size + self.ids[b]: k for (a, b), k in self.ranks.items()}
+        self.made = [self.ids[a + b] for a, b in self.ranks]
+        self.of_byte = [self.ids.get(bytes([k]), -1) for k in range(256)]
         self.prefix = bool((spec.get("pre_tokenizer") or {}).get("add_prefix_space"))
         self.words = regex.compile(_WORDS)
         self.parts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -95,6 +102,23 @@ class Codec:
                 heapq.heappush(heap, (r, i, parts[i], parts[k]))
         return [p for p in parts if p is not None]
 
+    def merged_short(self, data: bytes) -> list[int]:
+        """The ids of data as merged() gives them, by looking for the leftmost lowest rank each time; for short data."""
+        ids, size, rank_of, none = [self.of_byte[k] for k in data], self.size, self.rank_of, len(self.made)
+        ranks = [rank_of.get(a * size + b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while ranks:
+            low = min(ranks)
+            if low == none:
+                break
+            k = ranks.index(low)
+            ids[k : k + 2] = [self.made[low]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank_of.get(ids[k] * size + ids[k + 1], none)
+            if k:
+                ranks[k - 1] = rank_of.get(ids[k - 1] * size + ids[k], none)
+        return ids
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[bytes]:
         """Tokens of one word that comes in chunks, each as soon as it is stable."""
         buffer = b""
@@ -113,8 +137,8 @@ class Codec:
     def word(self, word: str) -> str:
         """The ids of a word, joined by commas."""
         data = word.encode("utf-8", "surrogatepass")
-        if data in self.ids and len(data) <= 2:
-            return str(self.ids[data])
+        if len(data) <= SHORT:
+            return ",".join(map(str, self.merged_short(data)))
         return ",".join(str(self.ids[t]) for t in self.stream(data[k : k + BUFFER] for k in range(0, len(data), BUFFER)))
 
     def windows(self, text: str) -> Iterator[str]:
@@ -139,8 +163,8 @@ class Codec:
                 part = " " + part
             for piece in self.windows(part):
                 yield ",".join(map(look, self.words.findall(piece)))
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
+                if len(self.known) > REMEMBERED // 2:
+                    self.known.age()
 
     def decode(self, pieces: Iterable[str]) -> Iterator[str]:
         """The text of pieces of ids, as bytes become characters."""
@@ -152,14 +176,20 @@ class Codec:
 
 
 class _Known(dict):
-    """Ids of words met so far; words of more than a few hundred characters are not kept."""
+    """Ids of words met lately, in two ages, so that frequent words stay when it is full; words of more than a few hundred
+    characters are not kept."""
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
         self.codec = codec
+        self.older: dict[str, str] = {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> str:
-        ids = self.codec.word(word)
+        ids = self.older.get(word) or self.codec.word(word)
         if len(word) <= 256:
             self[word] = ids
         return ids
