@@ -122,6 +122,38 @@ def test_many_short_secrets_stay_apart(spark):
     assert len(drawn) == len(secrets) and not drawn & secrets
 
 
+def luhn(digits: str) -> bool:
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_only_cards_with_a_right_check_digit_are_replaced(spark):
+    rng = random.Random(36)
+    numbers = ["".join(rng.choice("0123456789") for _ in range(rng.randint(13, 18))) for _ in range(400)]
+    docs = spark.createDataFrame([(k, f"paid by {x} then") for k, x in enumerate(numbers)], "doc_id long, text string")
+    counts = {r.doc_id: r.n for r in docs.select("doc_id", privacy.count_entities("text").alias("n")).collect()}
+    seen = set()
+    for r in privacy.pseudonymise(docs, "key").collect():
+        old, new = numbers[r.doc_id], r.text.split(" ")[2]
+        assert counts[r.doc_id] == luhn(old) and (new != old or not luhn(old))
+        assert luhn(new) == luhn(old) and len(new) == len(old) and new[0] == old[0]
+        seen.add(new)
+    assert len(seen) == len(set(numbers)) and sum(map(luhn, numbers)) > 20
+
+
+def test_forms_of_cards_accounts_and_quoted_digits(spark):
+    texts = ["4111 1111 1111 1111 4111111111111111", "4111 1111 1111 1112", 'password = "4111111111111112" or "4111111111111112"', 'token: "123456" secret=\'user@host\'', "DE89370400440532013000 DE89 3704 0044 0532 0130 00", "DE88370400440532013000"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in privacy.pseudonymise(docs, "key").orderBy("doc_id").collect()]
+    spaced, plain = re.fullmatch(r"(4\d{3}(?: \d{4}){3}) (4\d{15})", out[0]).groups()
+    assert spaced.replace(" ", "") == plain != "4111111111111111" and luhn(plain)
+    assert out[1] == texts[1]
+    assert re.fullmatch(r'password = "\d{16}" or "4111111111111112"', out[2]) and out[2].count("4111111111111112") == 1
+    assert re.fullmatch(r"token: \"\d{6}\" secret='[a-z]{4}@[a-z]{4}'", out[3]) and "123456" not in out[3] and "user@host" not in out[3]
+    plain, spaced = re.fullmatch(r"(DE\d{20}) (DE\d\d(?: \d{4}){4} \d\d)", out[4]).groups()
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000" and int(plain[4:] + "1314" + plain[2:4]) % 97 == 1
+    assert out[5] != texts[5] and re.fullmatch(r"[A-Z]{2}\d{20}", out[5])
+
+
 def test_shards_of_awkward_rows(spark):
     rng = random.Random(36)
     rows = [(None, "same"), (9, "same")] * 1500 + [(k, prose(rng, 30)) for k in range(300)] + [(1, prose(rng, 60_000)), (2, None), (2, "")]
