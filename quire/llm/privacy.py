@@ -179,7 +179,7 @@ def _surrogate(e: str, kind: str, id_: str, digest: str, key: str, width: int, s
     secret = _drawn(e, digest, f"{salt} > 0" if salt else "false")
     if salt:
         secret = f"concat(substr({digest}, 257, greatest(0, {salt} - {AGAIN})), {secret})"
-    return f"CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {address} WHEN 'name' THEN concat({title}, {name}) WHEN 'digits' THEN {spread} WHEN 'card' THEN {spread} WHEN 'account' THEN {spread} WHEN 'none' THEN {e} ELSE {secret} END"
+    return f"CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {address} WHEN 'name' THEN concat({title}, {name}) WHEN 'none' THEN {e} ELSE CASE WHEN {kind} IN ('digits', 'card', 'account') THEN {spread} ELSE {secret} END END"
 
 
 def entities(text: Column) -> Column:
@@ -213,7 +213,8 @@ def _colliding(found: DataFrame, key: str, width: int, salt: str = "") -> DataFr
     found = found.withColumn("id", F.expr(_salted("normal", salt) if salt else "normal")).withColumn("digest", F.expr(_digest("id", key)))
     s = _surrogate("e", "kind", "id", "digest", key, width, salt)
     core = f"CASE kind WHEN 'email' THEN lower(s) WHEN 'name' THEN regexp_replace(s, {_text(rf'^(?:{_TITLE})[.]? ')}, '') ELSE s END"
-    drawn = found.withColumn("s", F.expr(s)).select("normal", "kind", F.expr(core).alias("s"))
+    # written in a plan without shuffles: adaptive execution plans again after every shuffle, and the driver holds each copy of s
+    drawn = written(found.withColumn("s", F.expr(s)).select("normal", "kind", F.expr(core).alias("s")))
     first = drawn.groupBy("s").agg(F.min("normal").alias("first"), F.count_distinct("normal").alias("n")).filter("n > 1").select("s", "first")
     shared = drawn.join(first, "s").filter("normal <> first").select("normal", "kind")
     occurs = drawn.join(found.select(F.col("normal").alias("s")).distinct(), "s", "left_semi").select("normal", "kind")

@@ -130,6 +130,14 @@ def test_secrets_with_one_surrogate_part(spark, monkeypatch):
     assert len(set(out)) == 3 and not set(out) & {t for _, t in rows}
 
 
+def test_collision_check_works_surrogates_out_once(spark):
+    docs = spark.createDataFrame([(1, 'Mr. Smith wrote to a@b.de, token = "abcdef"')], "doc_id long, text string")
+    collided = privacy._colliding(privacy._drawn_entities(docs), "key", 0)
+    # a plan with shuffles is planned again after each of them, so it must not hold the surrogates' huge expression
+    assert "sha2" not in collided._jdf.queryExecution().optimizedPlan().toString()
+    assert collided.isEmpty()
+
+
 # --- 3: html
 
 
