@@ -11,12 +11,12 @@ empty, linked with nothing). Two documents are linked if 100 * |A & B| >= 75 * |
    A bucket is never expanded into its pairs: each member is compared with the bucket's hub, then links become components.
    The hub is the member whose buckets are largest together: in a group of near copies that is the text they all derive
    from, so one round links such a group whatever its size.
-4. Members that no hub linked meet the bucket's other components in blocks of sketches, and per component the likeliest
-   partners go to verification. Only those that had more likely partners in a component than were tried, and still are not
-   linked with it, go on to a round of more, until every likely pair between components has been tried.
-5. Pairs that the likelihood keeps are verified on the full sets.
+   Pairs that the likelihood keeps are verified on the full sets; the others are not lost, as they still meet in 4.
+4. Members of buckets that still hold several components are dealt into blocks with their full sets, and those outside the
+   largest component meet every block of the bucket. Intersections are counted in the block, and what leaves it is a
+   spanning forest of the links between its components: as many rows as members at most, whatever the number of pairs.
 
-Only ids, bands and sketches are shuffled, and the texts of bucketed documents once. Equal doc_id values in several rows
+Ids, bands and sketches are shuffled, the texts of bucketed documents once, and the sets of 4 once per bucket and block met. Equal doc_id values in several rows
 fold into one class member each; extra columns are ignored.
 """
 
@@ -42,12 +42,11 @@ REGISTERS, FINE = BANDS * ROWS, 512
 #: small base, so that equal ones mean equal minima; estimating ones take a byte.
 RATE, BANDED, ESTIMATING = 20.0, (1.001, (1 << 16) - 2, "<u2"), (1.1, (1 << 8) - 2, "u1")
 B = ESTIMATING[0]
-#: Pairs whose likeliest similarity is below this are not verified: 0.75 less 3.7 standard errors of 512 registers; nor is
-#: a pair with a smaller share of equal registers than EQUAL.
-LIKELY, EQUAL = 0.68, 0.65
-#: Sketches in a block of a large bucket, and partners tried per member and component in the first round; each round has
-#: sixteen times as many.
-BLOCK, TRIES = 2048, 64
+#: Pairs of member and hub whose likeliest similarity is below this are not verified: 0.75 less 3.7 standard errors of 512 registers.
+LIKELY = 0.68
+#: Members and shingles in a block of a large bucket (a larger set stands with others all the same), members that try a block
+#: at once, and marks of shingles that they have together.
+BLOCK, HELD, TRIES, MARKS = 2048, 1 << 21, 64, 1 << 25
 #: Pairs estimated together.
 PAIRS = 1024
 
@@ -149,9 +148,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at = utf8(part.column(1))
             sets = [x for i, j in runs(at) for x in shingles_of(data, at[i : j + 1])]
             fine = [row.tobytes() for x in sets for row in set_sketches([x], REGISTERS, FINE, ESTIMATING)]
-            bands = [(mixed(row.view("<u8")) >> np.uint64(32)).astype("<u4").tobytes() for x in sets for row in set_sketches([x], 0, REGISTERS, BANDED)]
-            columns = [part.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (bands, fine, [x.astype("<u8").tobytes() for x in sets]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "bands", "fine", "shingles"])
+            columns = [part.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (fine, [x.astype("<u8").tobytes() for x in sets]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "fine", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,7 +168,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _with_hubs(keys: DataFrame) -> DataFrame:
-    """key, band, rep, hub, members of the buckets (key, band, rep) with several members; of buckets with equal members, one.
+    """key, rep, n, hub of the buckets (key, band, rep, n) with several members; of buckets with equal members, one.
 
     Only the fold of a bucket is ever gathered: its size and two checksums of its members, and its most central member.
     """
@@ -178,17 +176,17 @@ def _with_hubs(keys: DataFrame) -> DataFrame:
     sizes = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.shiftright(each, 8)).alias("sum"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"), F.first("band").alias("band"))
     shared = written(sizes.filter("members > 1"))
     kept = shared.groupBy("members", "sum", "xor").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", "members")
-    placed = written(keys.join(kept, "key").select("key", "band", "rep", "members"))
+    placed = written(keys.join(kept, "key").select("key", "rep", "n", "members"))
     central = placed.groupBy("rep").agg(F.sum("members").alias("central"))
     hubs = placed.join(central, "rep").groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("top"))
-    return placed.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").select("key", "band", "rep", "hub", "members")
+    return placed.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").select("key", "rep", "n", "hub")
 
 
 def classes(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
-    """node, component of the linked ones among the representatives (rep, sketch); docs has their texts, and
+    """node, component of the linked ones among the representatives (rep, n, sketch); docs has their texts, and
     ids in several rows if repeated."""
     band = lambda k: F.xxhash64(F.lit(k), F.expr(f"substring(sketch, {2 * ROWS * k + 1}, {2 * ROWS})"))
-    keys = reps.select("rep", F.posexplode(F.array(*[band(k) for k in range(BANDS)])).alias("band", "key"))
+    keys = reps.select("rep", "n", F.posexplode(F.array(*[band(k) for k in range(BANDS)])).alias("band", "key"))
     bucketed = written(_with_hubs(keys))
     inside = written(bucketed.select("rep").distinct())
     near_ids = broadcast_if_small(inside, 16)
@@ -196,8 +194,8 @@ def classes(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
     texts = texts.join(near_ids, "rep")
     if repeated:
         texts = texts.dropDuplicates(["rep"])
-    sets = written(texts.mapInArrow(_sets, "rep long, n long, bands binary, fine binary, shingles binary"))
-    own = sets.select("rep", "n", "bands", "fine")
+    sets = written(texts.mapInArrow(_sets, "rep long, n long, fine binary, shingles binary"))
+    own = sets.select("rep", "n", "fine")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}_{name}") for c in df.columns])
@@ -211,105 +209,106 @@ def classes(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
         return two.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verified, "a long, b long, linked boolean")
 
     first = bucketed.filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    first = broadcast_if_small(written(first), 16).join(side(own.drop("bands"), "a"), F.col("a") == F.col("rep_a")).join(side(own.drop("bands"), "b"), F.col("b") == F.col("rep_b"))
+    first = broadcast_if_small(written(first), 16).join(side(own, "a"), F.col("a") == F.col("rep_a")).join(side(own, "b"), F.col("b") == F.col("rep_b"))
     first = first.filter(F.least("n_a", "n_b") * PART >= F.greatest("n_a", "n_b") * SHARE)
     first = first.select("a", "b", "fine_a", "fine_b", "n_a", "n_b").mapInArrow(_estimated, "a long, b long")
-    tried = written(verified(written(first)))
-    labels, tries, asking = components(tried.filter("linked")), TRIES, None
-    while True:
-        found = written(_untried(_open(bucketed, labels, asking), own, tries))
-        pairs = written(found.select(F.least("asks", "other").alias("a"), F.greatest("asks", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        new = written(verified(pairs))
-        tried, tries = written(tried.union(new)), 16 * tries
-        if not new.filter("linked").isEmpty():
-            labels = components(tried.filter("linked"))
-        short = found.filter("cut").select("asks", "other").distinct()
-        for name in ("asks", "other"):
-            short = short.join(labels.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}")), name, "left")
-        asking = written(short.filter("coalesce(in_asks, asks) <> coalesce(in_other, other)").select(F.col("asks").alias("rep")).distinct())
-        if asking.isEmpty():  # every likely pair between components has been tried
-            return labels
-
-
-def _open(bucketed: DataFrame, labels: DataFrame, asking: DataFrame | None) -> DataFrame:
-    """rep, component, places of the members of buckets that hold several components: per bucket its key, band, blocks and
-    whether the member asks there. First the members outside the bucket's largest component ask, later the given ones."""
-    placed = bucketed.select("key", "band", "rep", "members").join(labels, bucketed.rep == labels.node, "left")
-    placed = written(placed.select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("component")))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"))
-    rows = placed.join(main.filter("parts > 1").select("key", F.col("top.component").alias("main")), "key").withColumn("asks", F.col("component") != F.col("main"))
-    if asking is not None:
-        rows = rows.join(asking.withColumn("again", F.lit(True)), "rep", "left").withColumn("asks", F.coalesce("again", F.lit(False)))
-        rows = rows.join(rows.filter("asks").select("key").distinct(), "key", "left_semi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    return rows.groupBy("rep", "component").agg(F.collect_list(F.struct("key", "band", blocks.alias("blocks"), "asks")).alias("places"))
-
-
-def _untried(open_: DataFrame, own: DataFrame, tries: int) -> DataFrame:
-    """asks, other, cut: likely pairs between components; per member that asks, the likeliest partners of each other
-    component, and whether there were more.
-
-    Members are dealt into blocks of about BLOCK, which each member that asks meets once; what leaves a block are its likely
-    pairs only. A member's sketch is joined once, whatever the number of its buckets.
-    """
-    own_block = "named_struct('key', p.key, 'band', p.band, 'block', cast(pmod(xxhash64(rep), p.blocks) AS INT), 'asks', false)"
-    all_blocks = "transform(sequence(0, p.blocks - 1), k -> named_struct('key', p.key, 'band', p.band, 'block', k, 'asks', true))"
+    links = written(verified(written(first)).filter("linked").select("a", "b"))
+    met = _met(_open(bucketed, components(links)), sets.select("rep", "shingles"))
+    return components(written(links.union(met)))
+
+
+def _open(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, component, places of the members of buckets that hold several components: per bucket its key, blocks and whether
+    the member asks there, which those outside the bucket's largest component do."""
+    placed = bucketed.select("key", "rep", "n").join(labels, bucketed.rep == labels.node, "left")
+    placed = written(placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("members"), F.sum("total").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / HELD)).cast("int")
+    rows = placed.join(main.filter("parts > 1").select("key", F.col("top.component").alias("main"), blocks.alias("blocks")), "key")
+    asks = (F.col("component") != F.col("main")).alias("asks")
+    return rows.groupBy("rep", "component").agg(F.collect_list(F.struct("key", "blocks", asks)).alias("places"))
+
+
+def _met(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between components. Members are dealt into blocks, and each member that asks meets all blocks of its
+    bucket once. A member's set is joined once, whatever the number of its buckets."""
+    own_block = "named_struct('key', p.key, 'block', cast(pmod(xxhash64(rep), p.blocks) AS INT), 'asks', false)"
+    all_blocks = "transform(sequence(0, p.blocks - 1), k -> named_struct('key', p.key, 'block', k, 'asks', true))"
     visits = f"flatten(transform(places, p -> CASE WHEN p.asks THEN concat(array({own_block}), {all_blocks}) ELSE array({own_block}) END))"
-    rows = open_.join(own, "rep").select("rep", "component", "n", "bands", "fine", F.expr(f"inline({visits})"))
-    dealt = rows.select("key", "block", "asks", "band", "rep", "component", "n", "bands", "fine").repartition("key", "block").sortWithinPartitions("key", "block", "asks")
-    return dealt.mapInArrow(lambda batches: _meetings(batches, tries), "asks long, other long, cut boolean")
-
+    rows = open_.join(sets, "rep").select("rep", "component", "shingles", F.expr(f"inline({visits})"))
+    dealt = rows.select("key", "block", "asks", "rep", "component", "shingles").repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+    return dealt.mapInArrow(_meetings, "a long, b long")
+
+
+class _Block:
+    """The members of a block: reps, components and sets. Those that ask are compared with all of them."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray]]) -> None:
+        reps, comps, sets = zip(*held, strict=True)
+        self.reps, self.comps, self.sizes = np.array(reps), np.array(comps), np.array([len(x) for x in sets])
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.hashes, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.at = at.astype(np.int32)
+        self.merged: dict[int, int] = {}
+        self.most = max(1, min(TRIES, MARKS // len(at)))
+
+    def links(self, asking: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        """Links that join components which no earlier one has joined here."""
+        marks = np.zeros((len(asking), len(self.hashes)), bool)
+        for mark, (_, _, own) in zip(marks, asking, strict=True):
+            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            mark[at[self.hashes[at] == own]] = True
+        out = []
+        for mark, (rep, comp, own) in zip(marks, asking, strict=True):
+            while comp in self.merged:
+                comp = self.merged[comp]
+            both = np.add.reduceat(mark[self.at], self.begin, dtype=np.int64)
+            fit = np.flatnonzero((self.comps != comp) & (PART * both >= SHARE * (self.sizes + len(own) - both)))
+            others, first = np.unique(self.comps[fit], return_index=True)
+            out += [(min(rep, y), max(rep, y)) for y in self.reps[fit[first]].tolist()]
+            for other in others.tolist():
+                self.merged[other] = comp
+                self.comps[self.comps == other] = comp
+        return out
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted: a block's members, which are held, then those that ask, which pass by a few at a time."""
+    at, held, known, asking = None, [], None, []
+
+    def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _meetings(batches: Iterator[pa.RecordBatch], tries: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted: a block's members, which are held, then those that ask, which pass by one at a time."""
-    block, held, known = None, [], None
     for batch in batches:
-        found: list[tuple[int, int, bool]] = []
-        for key, part, asks, band, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if block != (key, part):
-                block, held, known = (key, part), [], None
-            if not asks:
+        found: list[tuple[int, int]] = []
+        keys, blocks, asks, reps, comps = (c.to_pylist() for c in batch.columns[:5])
+        for key, block, ask, rep, comp, shingles in zip(keys, blocks, asks, reps, comps, batch.column(5), strict=True):
+            if at != (key, block):
+                found += known.links(asking) if asking else []
+                at, held, known, asking = (key, block), [], None, []
+            x = rep, comp, np.frombuffer(shingles.as_py(), "<u8")
+            if not ask:
                 held.append(x)
-                continue
-            if known is None and held:
-                rep, comp, n, coarse, fine = zip(*held, strict=True)
-                known = np.array(rep), np.array(comp), np.array(n, float), np.frombuffer(b"".join(coarse), "<u4").reshape(len(held), BANDS), np.frombuffer(b"".join(fine), "u1").reshape(len(held), FINE)
-            if known:
-                found += _likely(known, band, tries, *x)
-        a, b, cut = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["asks", "other", "cut"])
-
-
-def _likely(known: tuple, band: int, tries: int, rep: int, comp: int, n: int, coarse: bytes, fine: bytes) -> list[tuple[int, int, bool]]:
-    """The likeliest partners of one member in other components of its block; each pair in the first band that it shares."""
-    reps, comps, sizes, bands, sketches = known
-    fit = np.flatnonzero((comps != comp) & (PART * np.minimum(sizes, n) >= SHARE * np.maximum(sizes, n)))
-    if len(fit):
-        fit = fit[(bands[fit] == np.frombuffer(coarse, "<u4")).argmax(1) == band]
-    own = np.frombuffer(fine, "u1")
-    if len(fit):
-        fit = fit[(sketches[fit] == own).sum(1) >= EQUAL * FINE]
-    if not len(fit):
-        return []
-    est = likelihood(np.broadcast_to(own, (len(fit), FINE)), sketches[fit], np.full(len(fit), float(n)), sizes[fit])
-    fit, est = fit[est >= LIKELY], est[est >= LIKELY]
-    if not len(fit):
-        return []
-    fit = fit[np.lexsort((reps[fit], -est, comps[fit]))]
-    place = np.arange(len(fit)) - np.searchsorted(comps[fit], comps[fit])
-    cut = np.searchsorted(comps[fit], comps[fit], "right") - np.searchsorted(comps[fit], comps[fit]) > tries
-    return [(rep, y, many) for y, many in zip(reps[fit[place < tries]].tolist(), cut[place < tries].tolist(), strict=True)]
+            elif held:
+                known = known or _Block(held)
+                asking.append(x)
+                if len(asking) >= known.most:
+                    found += known.links(asking)
+                    asking = []
+        yield table(found)
+    yield table(known.links(asking) if asking else [])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); kept marks one document of each class."""
     small_batches(docs.sparkSession)
     all_ = written(sketch(docs))
-    reps = all_.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    reps = all_.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = written(reps)
     repeated = not all_.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    linked = classes(docs, reps.select("rep", "sketch"), repeated)
+    linked = classes(docs, reps.select("rep", "n", "sketch"), repeated)
     rep = reps.join(linked, reps.rep == linked.node, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n_shingles", "set_id").join(rep, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

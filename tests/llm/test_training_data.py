@@ -427,6 +427,35 @@ def test_near_duplicates_in_small_rounds(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == brute_classes(rows)
 
 
+def test_near_duplicates_in_blocks_of_few_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HELD", 300)
+    monkeypatch.setattr(near_dedup, "MARKS", 700)
+    rows = near_rows(150)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute_classes(rows)
+
+
+def test_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    rng = random.Random(12)
+    seed, rows = [f"w{rng.randrange(10**6)}" for _ in range(400)], []
+    for k in range(160):  # most pairs are alike and not linked; every tenth text is a near copy of the one before
+        words = list(rows[-1][1].split() if k % 10 == 9 else seed)
+        for place in rng.sample(range(400), 1 if k % 10 == 9 else 8):
+            words[place] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    real, pairs = near_dedup.written, []
+
+    def counted(df):
+        out = real(df)
+        pairs.append(out.count() if {"a", "b"} <= set(out.columns) else 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute_classes(rows)
+    assert sum(pairs) < 160 * 160 / 4
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_dedup.near_duplicates(awkward(spark)).count() == 11
