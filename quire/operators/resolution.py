@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as T
 from quire.operators import graphs
+from quire.operators.folds import folded
 from quire.operators.layout import page_pairs
 
 
@@ -63,26 +64,26 @@ def resolve(matches: DataFrame, least: float = 0.85) -> DataFrame:
     """matches(doc_id, image_id, caption_id, confidence, spatial, semantic): one-to-one pairs per document by the first strategy that
     settles anything: confidence, then spatial quality (by layout where counts agree), then semantic strength."""
 
-    def greedy(pdf: pd.DataFrame, by: str, floor: float) -> list[tuple]:
+    def greedy(group: list[tuple], k: int, by: str, floor: float) -> list[tuple]:
         images: set = set()
         captions: set = set()
         out = []
-        for x in pdf[pdf[by] >= floor].sort_values([by, "image_id", "caption_id"], ascending=[False, True, True]).itertuples():
-            if x.image_id not in images and x.caption_id not in captions:
-                images.add(x.image_id)
-                captions.add(x.caption_id)
-                out.append((x.doc_id, x.image_id, x.caption_id, by))
+        for x in sorted((x for x in group if x[k] is not None and x[k] >= floor), key=lambda x: -x[k]):
+            if x[1] not in images and x[2] not in captions:
+                images.add(x[1])
+                captions.add(x[2])
+                out.append((*x[:3], by))
         return out
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for by, floor in (("confidence", least), ("spatial", 0.0 if pdf.image_id.nunique() == pdf.caption_id.nunique() else 0.5), ("semantic", 0.5)):
-            rows = greedy(pdf, by, floor)
-            if rows:
-                break
-        return pd.DataFrame(rows, columns=["doc_id", "image_id", "caption_id", "strategy"])
+    def settle(group: list[tuple]) -> list[tuple]:
+        found = greedy(group, 3, "confidence", least)
+        if not found:
+            alike = len({x[1] for x in group} - {None}) == len({x[2] for x in group} - {None})
+            found = greedy(group, 4, "spatial", 0.0 if alike else 0.5) or greedy(group, 5, "semantic", 0.5)
+        return found
 
-    return matches.groupBy("doc_id").applyInPandas(settle, "doc_id long, image_id string, caption_id string, strategy string")
+    rows = matches.select("doc_id", "image_id", "caption_id", *(F.col(c).cast("double").alias(c) for c in ("confidence", "spatial", "semantic")))
+    return folded(rows, ["doc_id"], [F.asc_nulls_last("image_id"), F.asc_nulls_last("caption_id")], settle, "doc_id long, image_id string, caption_id string, strategy string")
 
 
 def pair_quality(spatial: Column, confidence: Column, keywords: Column) -> Column:
