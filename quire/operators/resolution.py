@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,18 +124,21 @@ def element_overlaps(blocks: DataFrame) -> DataFrame:
 def spread(blocks: DataFrame, gap: float = 5.0) -> DataFrame:
     """Blocks moved down, from the top, until none overlaps one before it."""
 
-    def shift(pdf: pd.DataFrame) -> pd.DataFrame:
-        placed: list[dict] = []
-        for x in pdf.sort_values(["y0", "x0", "line_no"]).to_dict("records"):
-            for y in sorted(placed, key=lambda p: p["y1"]):
-                if x["x0"] < y["x1"] and y["x0"] < x["x1"] and x["y0"] < y["y1"] and y["y0"] < x["y1"]:
-                    x["y1"] += y["y1"] + gap - x["y0"]
-                    x["y0"] = y["y1"] + gap
-            placed.append(x)
-        return pd.DataFrame(placed, columns=list(pdf.columns))
+    def shift(group: list[tuple]) -> list[tuple]:
+        placed: list[tuple] = []
+        ends: list[float] = []
+        for doc, page, line, x0, y0, x1, y1 in group:
+            for y in placed[bisect_right(ends, y0) :]:
+                if x0 < y[5] and y[3] < x1 and y0 < y[6] and y[4] < y1:
+                    y1 += y[6] + gap - y0
+                    y0 = y[6] + gap
+            k = bisect_right(ends, y1)
+            ends.insert(k, y1)
+            placed.insert(k, (doc, page, line, x0, y0, x1, y1))
+        return placed
 
     rows = blocks.select("doc_id", "page", "line_no", "x0", "y0", "x1", "y1")
-    return rows.groupBy("doc_id", "page").applyInPandas(shift, rows.schema)
+    return folded(rows, ["doc_id", "page"], [F.asc_nulls_last(c) for c in ("y0", "x0", "line_no")], shift, "doc_id long, page int, line_no int, x0 double, y0 double, x1 double, y1 double")
 
 
 def grouped_bodies(blocks: DataFrame, distance: float = 20.0) -> DataFrame:

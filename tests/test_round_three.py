@@ -76,3 +76,20 @@ def test_resolved_captions_without_a_frame_per_document(spark, small_batches):
     assert {x[3] for x in expected} == {"confidence", "spatial", "semantic"}
     assert sorted(tuple(r) for r in out.collect()) == sorted(expected)
     assert "FlatMapGroups" not in _plan(out)
+
+
+def test_spread_without_a_frame_per_page(spark, small_batches):
+    blocks, pages = _blocks(spark, 1)
+    expected = []
+    for page in pages.values():
+        placed: list = []
+        for x in ([*x[:7]] for x in page):
+            for y in sorted(placed, key=lambda y: y[6]):
+                if x[3] < y[5] and y[3] < x[5] and x[4] < y[6] and y[4] < x[6]:
+                    x[6] += y[6] + 5.0 - x[4]
+                    x[4] = y[6] + 5.0
+            placed.append(x)
+        expected += map(tuple, placed)
+    out = Z.spread(blocks)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(expected)
+    assert "FlatMapGroups" not in _plan(out)
