@@ -93,3 +93,15 @@ def test_spread_without_a_frame_per_page(spark, small_batches):
     out = Z.spread(blocks)
     assert sorted(tuple(r) for r in out.collect()) == sorted(expected)
     assert "FlatMapGroups" not in _plan(out)
+
+
+def test_next_stages_by_one_aggregate(spark):
+    rows = [
+        (1, "ingestion", "completed", 0), (1, "ingestion", "completed", 0), (2, "ingestion", "failed", 2), (2, "ocr", "completed", 0), (2, "layout_analysis", "completed", 9), (2, "image_extraction", "failed", 3),
+        (3, "ingestion", "completed", 1), (3, "preprocessing", "failed", None), (4, "ingestion", "completed", 0), (4, "preprocessing", "in_progress", 0), (5, "unknown", "completed", 0), (6, None, None, None),
+        (7, "evaluation", "completed", 0), (7, "article_reconstruction", "completed", 0), (7, "contributor_parsing", "completed", 0), (None, "ingestion", "completed", 0),
+    ]
+    out = J.next_stages(spark.createDataFrame(rows, "job_id long, stage string, status string, attempts int"))
+    plan = _plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "preprocessing"), (2, "article_reconstruction"), (3, "preprocessing"), (7, "completed")]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
