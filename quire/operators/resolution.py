@@ -143,20 +143,17 @@ def spread(blocks: DataFrame, gap: float = 5.0) -> DataFrame:
 
 def grouped_bodies(blocks: DataFrame, distance: float = 20.0) -> DataFrame:
     """Pairs of neighbouring bodies of a page that lie close, greedily from the top, at most two to a group: doc_id, page, line_no,
-    group."""
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y0", "x0", "line_no"]).to_dict("records")
-        out, k = [], 0
-        while k < len(rows):
-            x, y = rows[k], rows[k + 1] if k + 1 < len(rows) else None
-            near = y is not None and x["type"] == y["type"] == "body" and max(0.0, y["y0"] - x["y1"]) <= distance and x["x0"] < y["x1"] and y["x0"] < x["x1"]
-            for z in (x, y) if near else (x,):
-                out.append((z["doc_id"], z["page"], z["line_no"], x["line_no"]))
-            k += 2 if near else 1
-        return pd.DataFrame(out, columns=["doc_id", "page", "line_no", "group"])
-
-    return blocks.select("doc_id", "page", "line_no", "x0", "y0", "x1", "y1", "type").groupBy("doc_id", "page").applyInPandas(pair, "doc_id long, page int, line_no int, group int")
+    group. In a chain of close neighbours every second block joins the one before it."""
+
+    on_page = Window.partitionBy("doc_id", "page")
+    down = on_page.orderBy("y0", "x0", "line_no")
+    rows = blocks.select("doc_id", "page", "line_no", "x0", "y0", "x1", "y1", "type")
+    before = lambda c: F.lag(c).over(down)
+    near = (before("type") == "body") & (F.col("type") == "body") & (F.greatest(F.lit(0.0), F.col("y0") - before("y1")) <= distance) & (before("x0") < F.col("x1")) & (F.col("x0") < before("x1"))
+    rows = rows.select("doc_id", "page", "line_no", F.row_number().over(down).alias("n"), before("line_no").alias("other"), F.coalesce(near, F.lit(False)).alias("near"), "y0", "x0")
+    start = F.max(F.when(~F.col("near"), F.col("n"))).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    second = (F.col("n") - start) % 2 == 1
+    return rows.select("doc_id", "page", "line_no", F.when(second, F.col("other")).otherwise(F.col("line_no")).alias("group"))
 
 
 def layout_pattern(matches: DataFrame) -> DataFrame:

@@ -105,3 +105,19 @@ def test_next_stages_by_one_aggregate(spark):
     plan = _plan(out)
     assert sorted(tuple(r) for r in out.collect()) == [(1, "preprocessing"), (2, "article_reconstruction"), (3, "preprocessing"), (7, "completed")]
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_grouped_bodies_by_windows(spark):
+    blocks, pages = _blocks(spark, 2)
+    expected, pairs = [], 0
+    for rows in pages.values():
+        k = 0
+        while k < len(rows):
+            x, y = rows[k], rows[k + 1] if k + 1 < len(rows) else None
+            near = y is not None and x[7] == y[7] == "body" and max(0.0, y[4] - x[6]) <= 20.0 and x[3] < y[5] and y[3] < x[5]
+            expected += [(*z[:3], x[2]) for z in ((x, y) if near else (x,))]
+            k += 2 if near else 1
+            pairs += near
+    out = Z.grouped_bodies(blocks)
+    assert pairs > 20 and sorted(tuple(r) for r in out.collect()) == sorted(expected)
+    assert "Pandas" not in _plan(out) and "Arrow" not in _plan(out)
