@@ -121,3 +121,25 @@ def test_grouped_bodies_by_windows(spark):
     out = Z.grouped_bodies(blocks)
     assert pairs > 20 and sorted(tuple(r) for r in out.collect()) == sorted(expected)
     assert "Pandas" not in _plan(out) and "Arrow" not in _plan(out)
+
+
+def test_merged_blocks_without_a_frame_per_page(spark, small_batches):
+    blocks, pages = _blocks(spark, 4)
+    expected = []
+    for rows in pages.values():
+        out: list = []
+        for _, _, n, x0, y0, x1, y1, _, font, bold, text in rows:
+            y = out[-1] if out else None
+            if y and abs(y["font"] - font) <= 2 and y["bold"] == bold:
+                a, b, c, d = y["box"]
+                dx, dy = max(0.0, x0 - c, a - x1), max(0.0, y0 - d, b - y1)
+                low, thin = min(y1 - y0, d - b), min(x1 - x0, c - a)
+                if (dx * dx + dy * dy) ** 0.5 <= 20 and (min(y1, d) - max(y0, b) > 0.5 * low or min(x1, c) - max(x0, a) > 0.5 * thin):
+                    between = "" if y["text"].endswith((" ", "\n")) else " " if abs((y0 + y1) - (b + d)) / 2 < 0.5 * low else "\n"
+                    y.update(text=y["text"] + between + text, box=(min(x0, a), min(y0, b), max(x1, c), max(y1, d)), merged=y["merged"] + 1)
+                    continue
+            out.append({"line": n, "font": font, "bold": bold, "box": (x0, y0, x1, y1), "merged": 1, "text": text})
+        expected += [(*rows[0][:2], y["line"], *y["box"], y["merged"], y["text"]) for y in out]
+    found = L.merge_nearby(blocks)
+    assert len(expected) < 200 and sorted(tuple(r) for r in found.collect()) == sorted(expected)
+    assert "FlatMapGroups" not in _plan(found)
