@@ -143,3 +143,11 @@ def test_merged_blocks_without_a_frame_per_page(spark, small_batches):
     found = L.merge_nearby(blocks)
     assert len(expected) < 200 and sorted(tuple(r) for r in found.collect()) == sorted(expected)
     assert "FlatMapGroups" not in _plan(found)
+
+
+def test_greedy_pairs_without_a_frame_per_document(spark, small_batches):
+    matches, rows = _pairs(spark)
+    out = L.greedy_pairs(matches.withColumn("line_no", F.col("caption_id").cast("int")))
+    expected = [(x[0], x[1], int(x[2]), x[3]) for d in {x[0] for x in rows} for x in _greedy([x for x in rows if x[0] == d], 3, 0.5)]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(expected)
+    assert "FlatMapGroups" not in _plan(out)
